@@ -107,7 +107,7 @@ def ngram_hashes(words: np.ndarray, n: int) -> np.ndarray:
     m = len(words) - n + 1
     if m <= 0:
         return np.zeros(0, dtype=U)
-    total = np.full(m, U(n) * U(0x9FB21C651E98DF25), dtype=U)
+    total = np.full(m, U(n * 0x9FB21C651E98DF25 & 0xFFFFFFFFFFFFFFFF), dtype=U)
     for k in range(n):
         total += words[k : k + m] * _LANES[k]
     return mix(total)
