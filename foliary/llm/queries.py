@@ -12,6 +12,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from foliary.llm import decontaminate
+
+    return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from foliary.llm import toxicity
+
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from foliary.llm import neardup
 
@@ -38,7 +51,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_near_duplicates, op5_quality_outliers, op7_token_files)}
+    return {f.__name__: f for f in (op1_benchmark_leaks, op2_toxicity, op3_near_duplicates, op5_quality_outliers, op7_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:

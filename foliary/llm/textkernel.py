@@ -124,3 +124,22 @@ def batches_by_chars(texts: list, most: int) -> Iterator[slice]:
         size += n
     if start < len(texts):
         yield slice(start, len(texts))
+
+
+_KNOWN = 0x3000
+_FOLD = np.array([ord(chr(c).lower()) if len(chr(c).lower()) == 1 else c for c in range(_KNOWN)], dtype=np.uint32)
+_ALNUM = np.array([chr(c).isalnum() for c in range(_KNOWN)])
+
+
+def folded_words(texts: list[str | None]) -> Words:
+    """Words for matching: runs of letters and digits in lower case, whatever stands around them."""
+    points, offsets = codepoints(texts)
+    known = np.minimum(points, _KNOWN - 1)
+    far = points >= _KNOWN
+    words = Words.__new__(Words)
+    words.blank = ~(_ALNUM[known] | far)
+    words.start, words.end = runs(~words.blank, offsets)
+    words.slices = Slices(np.where(far, points, _FOLD[known]))
+    words.hash = words.slices.hash(words.start, words.end)
+    words.range = np.searchsorted(words.start, offsets)
+    return words
