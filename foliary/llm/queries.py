@@ -31,12 +31,28 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.find(table(spark, sf_dir, "documents"))
 
 
+def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from foliary.llm import tagpaths
+
+    return tagpaths.extract(table(spark, sf_dir, "pages"))
+
+
 def op5_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     from foliary.llm import outliers
 
     return outliers.judge(table(spark, sf_dir, "documents"))
 
 
+#: A key for the queries' synthetic tables; callers with real data bring their own.
+DEMO_KEY = b"foliary demonstration key"
+
+
+def op6_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from foliary.llm import pseudonyms
+
+    return pseudonyms.pseudonymise(table(spark, sf_dir, "documents"), DEMO_KEY)
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -46,12 +62,19 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.write(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2).read()
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from foliary.llm import linedup
+
+    return linedup.find(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importlib.import_module("corpus_pipeline").run(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_benchmark_leaks, op2_toxicity, op3_near_duplicates, op5_quality_outliers, op7_token_files)}
+    ops = (op1_benchmark_leaks, op2_toxicity, op3_near_duplicates, op4_main_text, op5_quality_outliers, op6_pseudonyms, op7_token_files, op8_line_dedup)
+    return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:
