@@ -68,12 +68,24 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linedup.find(table(spark, sf_dir, "documents"))
 
 
+def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from foliary.llm import mixing
+
+    return mixing.sample(table(spark, sf_dir, "documents"))
+
+
+def op10_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from foliary.llm import warc
+
+    return warc.build(warc.responses(table(spark, sf_dir, "pages"))).withColumnRenamed("id", "page_id")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importlib.import_module("corpus_pipeline").run(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_benchmark_leaks, op2_toxicity, op3_near_duplicates, op4_main_text, op5_quality_outliers, op6_pseudonyms, op7_token_files, op8_line_dedup)
+    ops = (op1_benchmark_leaks, op2_toxicity, op3_near_duplicates, op4_main_text, op5_quality_outliers, op6_pseudonyms, op7_token_files, op8_line_dedup, op9_source_mix, op10_warc_derivatives, pipeline)
     return {f.__name__: f for f in ops}
 
 
