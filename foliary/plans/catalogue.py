@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from foliary.plans import conformance, documents, reviews, structure
+
 Query = Callable[[SparkSession, str], DataFrame]
+GROUPS = (documents, structure, conformance, reviews)
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {f.__name__: f for group in GROUPS for f in group.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for group in GROUPS for name, sql in group.ORACLES.items()}
