@@ -162,6 +162,8 @@ class ItemIndex:
 
     def leaks(self, words: np.ndarray, terms: np.ndarray) -> Iterator[tuple[int, float, float, float, int]]:
         """(item, score, question overlap, answer overlap, first word of the passage) of a document."""
+        if not len(self.vocabulary):
+            return
         hit = np.flatnonzero((terms >= 0) & self.essential[terms])
         if not len(hit):
             return
@@ -225,6 +227,6 @@ def find(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def remove(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **columns: str) -> DataFrame:
-    """The documents without those that hold a leak."""
+    """The documents without those that hold a leak; rows of a null id stay."""
     leaked = find(docs, items, id_col=id_col, **columns).select(F.col("doc_id").alias(id_col)).distinct()
     return docs.join(leaked, id_col, "left_anti")

@@ -354,5 +354,5 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     kept = find(docs, id_col, text_col, **limits).where("kept").select(F.col("doc_id").alias("id"), "line_no").distinct()
     numbered = docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("line_no", "line"))
     joined = numbered.join(kept.withColumn("line_no", F.col("line_no").cast("int")), ["id", "line_no"]).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("line_no", "line"))).alias("lines"))
-    texts = joined.select(F.col("id").alias(id_col), F.array_join("lines.line", "\n").alias("kept_text"))
-    return docs.join(texts, id_col, "left").withColumn(text_col, F.coalesce("kept_text", F.lit(""))).drop("kept_text")
+    texts = joined.select(F.col("id").alias(id_col), F.array_join("lines.line", "\n").alias("_foliary_text"))
+    return docs.join(texts, id_col, "left").withColumn(text_col, F.coalesce("_foliary_text", F.lit(""))).drop("_foliary_text")
