@@ -11,8 +11,8 @@ divided by the item's own score, so one threshold serves all. Retrieval is block
    threshold are opened, and only their postings are scored.
 
 Both tests are bounds, so nothing above the threshold is lost. A retrieved item counts as a leak if, around the passage,
-the document holds at least OVERLAP of the n-grams of its question and of its answer. Words are compared in lower case
-without punctuation.
+the document holds at least OVERLAP of the n-grams of its question and of its answer, or at least WHOLE of those of both
+together, since an answer of a word or two may have been changed. Words are compared in lower case without punctuation.
 
 The index is built from shards of the items of bounded size, each broadcast in turn, so a large benchmark costs more
 passes rather than more memory; document frequencies are those of the shard.
@@ -42,6 +42,7 @@ PART = 64
 THRESHOLD = 0.6
 GRAM = 3
 OVERLAP = 0.6
+WHOLE = 0.75
 K1, B = 1.2, 0.75
 BLOCK = 4
 GROUPS = 64
@@ -107,7 +108,7 @@ class ItemIndex:
         self.essential = np.ones(len(order), dtype=bool)
         self.essential[order[:low]] = False
         self.needed = THRESHOLD - self._share(order[:low], n) - 1e-4
-        self.grams = [(_grams(q), _grams(a)) for q, a in zip(self.questions, self.answers, strict=True)]
+        self.grams = [(_grams(q), _grams(a), _grams(np.concatenate((q, a)))) for q, a in zip(self.questions, self.answers, strict=True)]
 
     def _share(self, terms: np.ndarray, n: int) -> float:
         if not len(terms):
@@ -178,10 +179,11 @@ class ItemIndex:
             reach = max(PASSAGE, len(self.questions[item]) + len(self.answers[item]))
             near = words[max(0, s - reach) : s + PASSAGE + reach]
             overlaps = []
-            for own, source in zip(self.grams[item], (self.questions[item], self.answers[item]), strict=True):
-                n = min(GRAM, len(source))
+            size = len(self.questions[item]), len(self.answers[item])
+            for own, length in zip(self.grams[item], (*size, sum(size)), strict=True):
+                n = min(GRAM, length)
                 overlaps.append(float(np.isin(own, ngram_hashes(near, n)).mean()) if n else 1.0)
-            if min(overlaps) >= OVERLAP:
+            if min(overlaps[:2]) >= OVERLAP or overlaps[2] >= WHOLE:
                 yield item, score, overlaps[0], overlaps[1], s
 
 
