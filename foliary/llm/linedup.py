@@ -270,14 +270,14 @@ def _verify(batches: Iterator[pa.RecordBatch], edits: int) -> Iterator[pa.Record
 
 
 def _grid(rows: DataFrame) -> DataFrame:
-    """Deferred groups dealt into blocks: each block of indexed rows meets every block."""
+    """Deferred groups dealt into blocks: every two blocks, and each block with itself, meet in a cell of their own."""
     sizes = rows.groupBy("cell").agg(F.count("*").alias("size"))
     half = CELL // 2
     blocks = F.ceil(F.col("size") / half).cast("long")
     mine = F.pmod(F.xxhash64("line", "side"), blocks)
     every = F.sequence(F.lit(0).cast("long"), blocks - 1)
     cell = lambda x, y: F.xxhash64("cell", x, y)
-    at = F.transform(every, lambda k: F.when(F.col("side") == 0, cell(F.least(mine, k), F.greatest(mine, k))).otherwise(cell(F.least(mine, k), F.greatest(mine, k))))
+    at = F.transform(every, lambda k: cell(F.least(mine, k), F.greatest(mine, k)))
     return rows.distinct().join(sizes, "cell").withColumn("cells", at).select(F.explode("cells").alias("cell"), "line", "counts", "side").distinct()
 
 
@@ -299,7 +299,7 @@ def links(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS) -> Data
     shared = docs.sparkSession.sparkContext.broadcast(bitmap.tobytes())
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # the words are those of Spark's xxhash64, so the candidates are looked up after it; here lines only stream out
+        # the bitmap was filled by Spark's xxhash64 of the line, so the same hash looks a line up
         seen: set[int] = set()
         for batch in batches:
             whole = batch["text"].to_pylist()
