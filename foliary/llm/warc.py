@@ -145,8 +145,8 @@ def _text(content_type: str, body: bytes) -> str:
 
 def visible_text(source: str) -> str:
     """The text that a page shows, a line per block."""
-    text = _TAG.sub("", _BREAK.sub("\n", _HIDDEN.sub(" ", re.sub(r"\s+", " ", source))))
-    lines = (re.sub(r"\s+", " ", html.unescape(x)).strip() for x in text.split("\n"))
+    text = _TAG.sub("", _BREAK.sub("\n", _HIDDEN.sub(" ", source.replace("\n", " "))))
+    lines = (" ".join(html.unescape(x).split()) for x in text.split("\n"))
     return "\n".join(x for x in lines if x)
 
 
