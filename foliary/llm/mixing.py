@@ -7,7 +7,8 @@ own tokens; rates are scaled, and capped at 1 with the rest scaled up, so that t
 of all. A document is sampled if its reproducible uniform number, of id and seed, is below its cell's rate: no row
 depends on another, and a task that is run anew draws the same documents.
 
-All statistics are aggregated before they are shuffled, and cells stay in tables, whatever the number of sources.
+All statistics are aggregated before they are shuffled. The number of cells is checked: up to LOCAL_CELLS of them are
+raked in memory, more stay in tables throughout. Both ways take the same steps.
 
 Defined cases: null sources, languages and topics are values of their own; targets are shares by value, scaled to 1 over
 the values that occur, and a value without a target keeps its own share; documents without words weigh nothing and are
@@ -16,6 +17,7 @@ sampled at the overall share; documents with the same id share a fate; an empty
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +26,8 @@ from foliary.llm.scratch import hash01, save
 DIMENSIONS = ("source", "lang", "topic")
 ROUNDS = 40
 TOLERANCE = 1e-4
+#: Up to so many cells the rounds are a loop in the driver's memory; beyond it they stay in tables, a job a round.
+LOCAL_CELLS = 1 << 16
 CAP_ROUNDS = 30
 #: Default targets: shares of tokens to this power, which lifts small sources and holds back large ones.
 POWER = 0.7
@@ -57,7 +61,7 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame]) -> DataFrame:
     """``cells`` (DIMENSIONS, tokens) with ``fitted``, the raked tokens; targets by dimension: (value, target)."""
     total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
     cells = cells.withColumn("fitted", F.col("tokens").cast("double"))
-    goals = {}
+    goals: dict[str, DataFrame] = {}
     for d in DIMENSIONS:
         own = cells.groupBy(d).agg(F.sum("tokens").alias("own"))
         goal = own.join(targets[d].select(d, "target"), d, "left") if d in targets else own.withColumn("target", F.lit(None).cast("double"))
@@ -65,8 +69,9 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame]) -> DataFrame:
         free = (given[1] or 0) / (given[2] or 1)
         wanted = F.when(F.col("target").isNull(), F.col("own").cast("double")).otherwise(F.col("target") / F.lit(given[0] or 1.0) * F.lit((1 - free) * total))
         goals[d] = save(goal.where("own > 0").select(d, wanted.alias("goal")), f"goal-{d}")
+    if cells.limit(LOCAL_CELLS + 1).count() <= LOCAL_CELLS:
+        return _rake_here(cells, goals)
     for _ in range(ROUNDS):
-        gap = 0.0
         for n, d in enumerate(DIMENSIONS):
             now = cells.groupBy(d).agg(F.sum("fitted").alias("now")).join(goals[d], d)
             factor = now.select(d, F.when(F.col("now") > 0, F.col("goal") / F.col("now")).otherwise(0.0).alias("factor"))
@@ -80,6 +85,29 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame]) -> DataFrame:
     return cells
 
 
+def _rake_here(cells: DataFrame, goals: dict[str, DataFrame]) -> DataFrame:
+    """The rounds over cells whose number has been checked."""
+    rows = cells.orderBy(*DIMENSIONS).collect()
+    fitted = np.array([r["fitted"] for r in rows], dtype=float)
+    heavy = np.array([r["tokens"] > 0 for r in rows], dtype=bool)
+    places = []
+    for d in DIMENSIONS:
+        values = {r[d]: r["goal"] for r in goals[d].collect()}
+        names = {v: i for i, v in enumerate(sorted({r[d] for r in rows}))}
+        places.append((np.array([names[r[d]] for r in rows], dtype=np.int64), np.array([values.get(v, 0.0) for v in names])))
+    for _ in range(ROUNDS):
+        gap = 0.0
+        for at, goal in places:
+            now = np.bincount(at, fitted, len(goal)).astype(float)
+            factor = np.divide(goal, now, out=np.zeros_like(now), where=now > 0)[at]
+            fitted = fitted * factor
+            gap = max(gap, float(np.abs(factor - 1)[heavy].max(initial=0.0)))
+        if gap <= TOLERANCE:
+            break
+    made = [(*(r[d] for d in DIMENSIONS), r["tokens"], float(f)) for r, f in zip(rows, fitted, strict=True)]
+    return cells.sparkSession.createDataFrame(made, cells.schema)
+
+
 def rates(cells: DataFrame, share: float) -> DataFrame:
     """``cells`` with ``rate``: fitted over own tokens, scaled and capped to spend ``share`` of all tokens."""
     ratio = F.when(F.col("tokens") > 0, F.col("fitted") / F.col("tokens"))

@@ -374,7 +374,9 @@ def test_line_dedup_odd_input(spark):
 # 9
 
 
-def test_raking_meets_all_marginals(spark):
+@pytest.mark.parametrize("local", [1 << 16, 0])
+def test_raking_meets_all_marginals(spark, local, monkeypatch):
+    monkeypatch.setattr(mixing, "LOCAL_CELLS", local)
     rng = random.Random(12)
     rows = [(i, "word " * rng.randint(1, 30), rng.choice("abc"), rng.choice(["en", "de"]), rng.choice("xyz")) for i in range(3000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, topic string")
