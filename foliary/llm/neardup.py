@@ -43,11 +43,11 @@ TREES = 8
 BRANCHES = 2
 DEPTH = 3
 #: Members of a node that one task compares with each other, and hubs of a larger one.
-NODE = 512
+NODE = 8192
 HUBS = 4
-#: Minwise values in a sketch; pairs below SKETCH_LEAST estimated similarity differ from 0.85 by over five deviations.
-LANES = 128
-SKETCH_LEAST = 0.68
+#: Minwise values of 16 bits in a sketch; an estimate below SKETCH_LEAST is over four deviations from 0.85.
+LANES = 256
+SKETCH_LEAST = 0.75
 BATCH_CHARS = 1 << 19
 BITMAP_WORDS = 1 << 17
 
@@ -71,8 +71,8 @@ def shingle_sets(texts: list[str | None], k: int = SHINGLE) -> Iterator[np.ndarr
                 yield np.zeros(0, dtype=U)
 
 
-def sketch(shingles: np.ndarray) -> np.ndarray:
-    """LANES minwise values of a set that isn't empty."""
+def minwise(shingles: np.ndarray) -> np.ndarray:
+    """LANES minwise values of a set that isn't empty; the first TREES of them are the trees' roots."""
     low = (shingles ^ (shingles >> U(32))).astype(np.uint32)
     best = None
     for at in range(0, len(low), 1 << 14):
@@ -81,6 +81,10 @@ def sketch(shingles: np.ndarray) -> np.ndarray:
     return best
 
 
+def sketch(values: np.ndarray) -> np.ndarray:
+    return (values ^ (values >> np.uint32(16))).astype(np.uint16)
+
+
 def _sums(shingles: np.ndarray) -> tuple[int, int]:
     """Two sums that identify a set, whatever its order."""
     return tuple(int(mix(x).sum(dtype=U).astype(np.int64)) for x in (shingles, shingles ^ U(0x5851F42D4C957F2D)))
@@ -88,14 +92,17 @@ def _sums(shingles: np.ndarray) -> tuple[int, int]:
 
 def _sketches(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        n, low, high, sig = [], [], [], []
+        n, low, high, roots, sig = [], [], [], [], []
         for s in shingle_sets(batch["text"].to_pylist(), k):
             n.append(len(s))
             x, y = _sums(s)
             low.append(x)
             high.append(y)
-            sig.append(sketch(s).tobytes() if len(s) else None)
-        yield pa.RecordBatch.from_arrays([batch["id"], pa.array(n, pa.int64()), pa.array(low, pa.int64()), pa.array(high, pa.int64()), pa.array(sig, pa.binary())], ["id", "n", "low", "high", "sig"])
+            values = minwise(s) if len(s) else None
+            roots.append(None if values is None else values[:TREES].tobytes())
+            sig.append(None if values is None else sketch(values).tobytes())
+        columns = [batch["id"], *(pa.array(x, pa.int64()) for x in (n, low, high)), pa.array(roots, pa.binary()), pa.array(sig, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, ["id", "n", "low", "high", "roots", "sig"])
 
 
 def _full(batch: pa.RecordBatch, k: int) -> pa.RecordBatch:
@@ -137,11 +144,11 @@ def _near(sigs: np.ndarray, comp: np.ndarray, n: np.ndarray, side: np.ndarray, i
 
 
 def _candidates(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """The members (cell, id, side) of a cell that have a member they may be similar to."""
-    out: list[tuple[int, int, int]] = []
+    """The members of a cell that have a member they may be similar to."""
+    out, names = [], ("cell", "id", "side", "comp", "n")
     for g in groups(batches, "cell"):
         ids, comp, n, side = _sides(g)
-        sigs = np.frombuffer(b"".join(g["sig"].to_pylist()), dtype=np.uint32).reshape(len(ids), LANES)
+        sigs = np.frombuffer(b"".join(g["sig"].to_pylist()), dtype=np.uint16).reshape(len(ids), LANES)
         hit = np.zeros(len(ids), dtype=bool)
         for i in range(len(ids) - 1):
             j = _near(sigs, comp, n, side, i, percent)
@@ -149,12 +156,12 @@ def _candidates(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.
                 hit[i] = hit[j] = True
         if hit.any():
             cell = g["cell"][0].as_py()
-            out += [(cell, i, s) for i, s in zip(ids[hit].tolist(), side[hit].tolist(), strict=True)]
+            out += [(cell, *row) for row in zip(*(x[hit].tolist() for x in (ids, side, comp, n)), strict=True)]
         if len(out) > 8192:
-            yield _rows(out, ("cell", "id", "side"))
+            yield _rows(out, names)
             out = []
     if out:
-        yield _rows(out, ("cell", "id", "side"))
+        yield _rows(out, names)
 
 
 def _rows(rows: list[tuple[int, ...]], names: tuple[str, ...]) -> pa.RecordBatch:
@@ -168,7 +175,7 @@ def _confirm(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
         ids, comp, n, side = _sides(g)
         comp = comp.copy()
         sets = [np.frombuffer(s, dtype=U) for s in g["shingles"].to_pylist()]
-        sigs = np.stack([sketch(s) for s in sets])
+        sigs = np.stack([sketch(minwise(s)) for s in sets])
         for i in range(len(ids) - 1):
             for j in _near(sigs, comp, n, side, i, percent).tolist():
                 if comp[i] == comp[j]:
@@ -184,44 +191,52 @@ def _confirm(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
         yield _rows(out, ("a", "b"))
 
 
-def _lane(position: Column | int) -> Column:
-    start = (F.lit(position) if isinstance(position, int) else position) * 4 + 1
-    return F.substring(F.col("sig"), start, F.lit(4))
+def _root(tree: int) -> Column:
+    return F.xxhash64(F.lit(tree), F.substring("roots", 4 * tree + 1, 4))
+
+
+def _branch(number: int) -> Column:
+    """A child of the node, by the minwise value at a position that the node's path chooses."""
+    position = F.pmod(F.xxhash64("node", F.lit(number)), F.lit(LANES)).cast("int")
+    return F.xxhash64("node", position, F.substring(F.col("sig"), position * 2 + 1, F.lit(2)))
 
 
 class ChosenPath:
-    """The join's state: classes (id, n, sig, comp) and the documents to take full sets from."""
+    """The join's state: texts (id, text), sketches (id, sig), classes (id, n, roots), and the components found so far."""
 
-    def __init__(self, texts: DataFrame, classes: DataFrame, percent: int, k: int, unique: bool):
+    def __init__(self, texts: DataFrame, sketches: DataFrame, classes: DataFrame, percent: int, k: int, unique: bool):
         self.texts, self.percent, self.k, self.unique = texts, percent, k, unique
-        self.classes = classes
+        self.sketches, self.classes = sketches, classes
         self.comp: DataFrame | None = None
-        self.links: DataFrame | None = None
 
-    def members(self) -> DataFrame:
+    def members(self, *columns: str) -> DataFrame:
+        rows = self.classes.select("id", "n", *columns)
         if self.comp is None:
-            return self.classes.withColumn("comp", F.col("id"))
-        return self.classes.join(self.comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+            return rows.withColumn("comp", F.col("id"))
+        return rows.join(self.comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
 
     def contract(self, links: DataFrame) -> None:
-        self.links = links if self.links is None else self.links.unionByName(links)
-        self.comp = save(components(self.links), "components")
+        """Components of the links so far: what was linked before is a star already."""
+        if links.isEmpty():
+            return
+        if self.comp is not None:
+            links = links.unionByName(self.comp.select(F.col("id").alias("a"), F.col("comp").alias("b")))
+        self.comp = save(components(links), "components")
 
     @staticmethod
     def alive(rows: DataFrame) -> DataFrame:
-        """Nodes with members of two components at least, with their sizes and hubs."""
+        """The rows in nodes with members of two components at least, with the node's size and hubs."""
         hubs = [F.min_by("id", F.xxhash64("id", "node", F.lit(h))).alias(f"hub{h}") for h in range(HUBS)]
-        return rows.groupBy("node").agg(F.count("*").alias("size"), F.min("comp").alias("c0"), F.max("comp").alias("c1"), *hubs).where("c0 <> c1").drop("c0", "c1")
+        nodes = rows.groupBy("node").agg(F.count("*").alias("size"), F.min("comp").alias("c0"), F.max("comp").alias("c1"), *hubs)
+        return rows.join(nodes.where("c0 <> c1").drop("c0", "c1"), "node")
 
     def compare(self, cells: DataFrame) -> DataFrame:
-        """Links among the rows (cell, id, comp, n, sig, side) of each cell."""
-        dealt = cells.select("cell", "id", "comp", "n", "side", "sig").repartition("cell").sortWithinPartitions("cell", "side", "id")
-        hits = save(dealt.mapInArrow(partial(_candidates, percent=self.percent), "cell long, id long, side long"), "candidates")
+        """Links among the rows (cell, id, comp, n, side) of each cell."""
+        rows = cells.select("cell", "id", "comp", "n", "side").join(self.sketches, "id")
+        dealt = rows.repartition("cell").sortWithinPartitions("cell", "side", "id")
+        hits = save(dealt.mapInArrow(partial(_candidates, percent=self.percent), "cell long, id long, side long, comp long, n long"), "candidates")
         wanted = id_bitmap(hits, "id", BITMAP_WORDS)
-        if not wanted:
-            return self.classes.sparkSession.createDataFrame([], "a long, b long")
-        sets = self._sets(hits, wanted)
-        rows = hits.join(sets.select("id", "shingles"), "id").join(self.members().select("id", "comp", "n"), "id")
+        rows = hits.join(self._sets(hits, wanted).select("id", "shingles"), "id")
         dealt = rows.repartition("cell").sortWithinPartitions("cell", "side", "id")
         return save(dealt.mapInArrow(partial(_confirm, percent=self.percent), "a long, b long"), "found")
 
@@ -247,29 +262,25 @@ class ChosenPath:
 
     def search(self, trees: range) -> None:
         """Grow the trees, compare their nodes and contract what they link."""
-        rows = self.members().select("id", "comp", "n", "sig", F.explode(F.array(*[F.xxhash64(F.lit(t), _lane(t)) for t in trees])).alias("node"))
-        leaves: list[DataFrame] = []
-        large = None
+        rows = self.members("roots").select("id", "comp", "n", F.explode(F.array(*[_root(t) for t in trees])).alias("node"))
+        cells, large = None, None
         for depth in range(DEPTH + 1):
-            alive = self.alive(rows)
-            rows = save(rows.join(alive, "node"), f"nodes{depth}")
-            leaves.append(rows.where(F.col("size") <= NODE).withColumn("cell", F.col("node")).withColumn("side", F.lit(0).cast("long")))
+            rows = save(self.alive(rows), f"nodes{depth}")
+            small = rows.where(F.col("size") <= NODE).select(F.col("node").alias("cell"), "id", "comp", "n", F.lit(0).cast("long").alias("side"))
+            cells = small if cells is None else cells.unionByName(small)
             rows = rows.where(F.col("size") > NODE)
             if rows.isEmpty():
                 break
             if depth == DEPTH:
                 large = rows
                 break
-            child = [F.pmod(F.xxhash64("node", F.lit(b)), F.lit(LANES)).cast("int") for b in range(BRANCHES)]
-            rows = rows.select("id", "comp", "n", "sig", F.explode(F.array(*[F.xxhash64("node", p, _lane(p)) for p in child])).alias("node")).distinct()
-        cells = leaves[0]
-        for more in leaves[1:]:
-            cells = cells.unionByName(more)
+            grown = rows.select("node", "id", "comp", "n").join(self.sketches, "id")
+            rows = grown.select("id", "comp", "n", F.explode(F.array(*[_branch(b) for b in range(BRANCHES)])).alias("node")).distinct()
         if large is not None:
-            cells = cells.unionByName(self._by_hubs(large))
+            cells = cells.unionByName(self._by_hubs(large).select(*cells.columns))
         self.contract(self.compare(cells))
         if large is not None:
-            self._rest(large.select("node", "id", "n", "sig"))
+            self._rest(large.select("node", "id", "n"))
 
     @staticmethod
     def _by_hubs(rows: DataFrame) -> DataFrame:
@@ -308,19 +319,19 @@ class ChosenPath:
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, k: int = SHINGLE) -> DataFrame:
     """A row per row of ``docs``: doc_id, n_shingles, component_id, kept."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    measured = save(texts.mapInArrow(partial(_sketches, k=k), "id long, n long, low long, high long, sig binary"), "sketches")
+    measured = save(texts.mapInArrow(partial(_sketches, k=k), "id long, n long, low long, high long, roots binary, sig binary"), "sketches")
     sets = measured.where("id is not null and n > 0")
     unique = sets.groupBy("id").count().where("count > 1").isEmpty()
     if not unique:  # of rows with one id, the one with the largest set stands for it
-        sets = save(sets.groupBy("id").agg(F.max(F.struct("n", "low", "high", "sig")).alias("x")).select("id", "x.*"), "one-by-id")
-    classes = sets.groupBy("n", "low", "high").agg(F.min(F.struct("id", "sig")).alias("one"))
-    classes = save(classes.select(F.col("one.id").alias("id"), "n", "low", "high", F.col("one.sig").alias("sig")), "classes")
-    join = ChosenPath(texts.where("id is not null"), classes.select("id", "n", "sig"), percent, k, unique)
+        sets = save(sets.groupBy("id").agg(F.max(F.struct("n", "low", "high", "roots", "sig")).alias("x")).select("id", "x.*"), "one-by-id")
+    classes = sets.groupBy("n", "low", "high").agg(F.min(F.struct("id", "roots")).alias("one"))
+    classes = save(classes.select(F.col("one.id").alias("id"), "n", "low", "high", "one.roots"), "classes")
+    join = ChosenPath(texts.where("id is not null"), sets.select("id", "sig"), classes.select("id", "n", "roots"), percent, k, unique)
     join.search(range(1))
     join.search(range(1, TREES))
-    comp = join.comp.select(F.col("id").alias("rep"), "comp")
-    linked = sets.select("id", "n", "low", "high").join(classes.select("n", "low", "high", F.col("id").alias("rep")), ["n", "low", "high"]).join(comp, "rep", "left")
-    linked = linked.select("id", F.coalesce("comp", "rep").alias("component_id"))
+    reps = join.members().select("id", "comp").join(classes.select("id", "n", "low", "high"), "id")
+    linked = sets.select("id", "n", "low", "high").join(reps.select("n", "low", "high", "comp"), ["n", "low", "high"])
+    linked = linked.select("id", F.col("comp").alias("component_id"))
     rows = measured.select("id", "n").join(linked, "id", "left")
     rows = rows.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
     return rows.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
