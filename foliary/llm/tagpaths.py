@@ -3,8 +3,9 @@
 A page is read once into text blocks, each with its root-to-leaf path of tag names. For every path, text length and
 punctuation are summed and divided by the path's blocks; the two ratios are smoothed along the page with a Gaussian
 kernel and fused by their geometric mean, and blocks whose fused value is at least the page's threshold are content. The
-element that holds most content, widened to an enclosing article or main element, gives the main text: all of its
-blocks in page order, so that a short line or a heading of the article is not lost.
+deepest element that holds all content, widened to an enclosing article or main element, gives the main text: all of its
+blocks in page order, so that a short line or a heading of the article is not lost. Within that element the threshold
+takes nothing away: a neutral block between or beside the content stays.
 
 What is by its markup no main text never takes part: scripts, styles, forms, menus, headers and footers of the page,
 sidebars, notices, adverts and comments, by tag, by role, or by a name in class or id.
@@ -32,8 +33,6 @@ from pyspark.sql import functions as F
 REACH, DEVIATION = 2, 1.0
 #: Share of the page's mean fused value that makes a block content.
 THRESHOLD = 0.5
-#: Share of the content that the chosen element must hold.
-COVER = 0.6
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
@@ -235,18 +234,11 @@ class Page:
         """The element whose blocks are the main text."""
         values = self.fused()
         level = THRESHOLD * sum(values) / len(values)
-        mass: dict[int, float] = {}
-        total = 0.0
-        for (e, text), v in zip(self.blocks, values, strict=True):
-            if v >= level:
-                total += len(text)
-                while e >= 0:
-                    mass[e] = mass.get(e, 0.0) + len(text)
-                    e = self.parent[e]
-        best = 0
-        for e in mass:  # ids grow downwards, so the last with enough is a deepest
-            if mass[e] >= COVER * total and self._depth(e) > self._depth(best):
-                best = e
+        content = [e for (e, _), v in zip(self.blocks, values, strict=True) if v >= level]
+        best = content[0]
+        for e in content:
+            while best != e:  # a parent's id is less than its children's
+                best, e = (self.parent[best], e) if best > e else (best, self.parent[e])
         while best > 0 and (self.tags[best] in HEADINGS or self.tags[best] not in SCOPES - {"blockquote", "ul", "ol", "dl", "table", "td", "th"}):
             best = self.parent[best]
         e = best
@@ -256,9 +248,6 @@ class Page:
             e = self.parent[e]
         return best
 
-    def _depth(self, e: int) -> int:
-        return self.path[e].count("/")
-
     def text(self) -> str:
         if not self.blocks:
             return ""

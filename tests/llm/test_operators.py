@@ -197,6 +197,17 @@ def test_main_text(page, text):
     assert tagpaths.main_text(page) == text
 
 
+@pytest.mark.parametrize("around", ["<body>{}</body>", "<body><div id='c'>{}</div></body>", "<body><div>{}<div>x</div></div></body>", "<body><div><article>{}</article></div></body>"])
+@pytest.mark.parametrize(("first", "second"), [(13, 7), (7, 13), (19, 1), (10, 10)])
+def test_main_text_of_a_split_body(around, first, second):
+    line = "Sentence {} stands here, with words. And a few more of them."
+    lines = [line.format(n) for n in range(first + second)]
+    halves = ["".join(f"<p>{x}</p>" for x in some) for some in (lines[:first], lines[first:])]
+    for tag in ("div", "section", "article"):
+        got = tagpaths.main_text(around.format("<nav>a, b.</nav>" + "".join(f"<{tag}>{h}</{tag}>" for h in halves))).split("\n")
+        assert [x for x in got if x != "x"] == lines
+
+
 def test_main_text_of_all_pages(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     got = {r["page_id"]: r for r in tagpaths.extract(pages.withColumn("text", F.lit(1))).collect()}
