@@ -12,14 +12,15 @@ divided by the item's own score, so one threshold serves all. Retrieval is block
 
 Both tests are bounds, so nothing above the threshold is lost. A retrieved item counts as a leak if, around the passage,
 the document holds at least OVERLAP of the n-grams of its question and of its answer, or at least WHOLE of those of both
-together, since an answer of a word or two may have been changed. Words are compared in lower case without punctuation.
+together, since an answer of a word or two may have been changed. Every retrieved pair of passage and item is verified,
+the best first, until one holds. Words are compared in lower case without punctuation.
 
 The index is built from shards of the items of bounded size, each broadcast in turn, so a large benchmark costs more
 passes rather than more memory; document frequencies are those of the shard.
 
 Defined cases: null or empty texts and items hold no words and match nothing; an item without an answer is judged by its
 question alone, one without a question by its answer; items of the same text are each reported; a row per document row and item, with the
-best passage (the first of equals); a null doc_id is reported as null; empty tables give no rows.
+best passage that is verified (the first of equals); a null doc_id is reported as null; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -152,39 +153,52 @@ class ItemIndex:
             mass[at:to] = np.add.reduceat(self.bound[terms[hit[first[at] : ends[to - 1]]]], first[at:to] - first[at], axis=0)
             at = to
         present = strides[first]
-        follows = np.concatenate((present[1:] == present[:-1] + 1, [False]))
+        joins = present[1:] == present[:-1] + 1
+        follows, leads = np.append(joins, False), np.append(True, ~joins)
         last = max(0, -(-n // STRIDE) - PASSAGE // STRIDE)
-        found = set()
         with_next = mass.copy()
         with_next[follows] += mass[1:][follows[:-1]]
-        for k in np.flatnonzero((with_next.max(axis=1) >= self.needed)).tolist():
-            found.update(max(0, min(last, int(present[k]) - j)) * STRIDE for j in ((0,) if follows[k] else (0, 1)))
-        return sorted(found)
-
-    def leaks(self, words: np.ndarray, terms: np.ndarray) -> Iterator[tuple[int, float, float, float, int]]:
-        """(item, score, question overlap, answer overlap, first word of the passage) of a document."""
-        if not len(self.vocabulary):
-            return
-        hit = np.flatnonzero((terms >= 0) & self.essential[terms])
+        # a passage whose first stride has no hits still holds this one's
+        found = np.concatenate((present[with_next.max(axis=1) >= self.needed], present[leads & (mass.max(axis=1) >= self.needed)] - 1))
+        return (np.unique(np.clip(found, 0, last)) * STRIDE).tolist()
+
+    def retrieved(self, terms: np.ndarray) -> dict[int, dict[int, float]]:
+        """By item, the first words of all passages of a document that score THRESHOLD at least, and their scores."""
+        found: dict[int, dict[int, float]] = {}
+        hit = np.flatnonzero((terms >= 0) & self.essential[terms]) if len(self.vocabulary) else ()
         if not len(hit):
-            return
-        best: dict[int, tuple[float, int]] = {}
-        for s in self.pivots(hit, terms, len(words)):
+            return found
+        for s in self.pivots(hit, terms, len(terms)):
             inside = np.unique(terms[s : s + PASSAGE])
             for part, score in zip(*self.retrieve(inside[inside >= 0]), strict=True):
-                item = int(self.item_of[part])
-                if item not in best or score > best[item][0]:
-                    best[item] = (float(score), s)
-        for item, (score, s) in sorted(best.items()):
-            reach = max(PASSAGE, len(self.questions[item]) + len(self.answers[item]))
-            near = words[max(0, s - reach) : s + PASSAGE + reach]
-            overlaps = []
+                at = found.setdefault(int(self.item_of[part]), {})
+                at[s] = max(at.get(s, 0.0), float(score))
+        return found
+
+    def leaks(self, words: np.ndarray, terms: np.ndarray) -> Iterator[tuple[int, float, float, float, int]]:
+        """(item, score, question overlap, answer overlap, first word of the passage) of a document."""
+        grams: dict[int, np.ndarray] = {}
+        for item, scores in sorted(self.retrieved(terms).items()):
             size = len(self.questions[item]), len(self.answers[item])
-            for own, length in zip(self.grams[item], (*size, sum(size)), strict=True):
-                n = min(GRAM, length)
-                overlaps.append(float(np.isin(own, ngram_hashes(near, n)).mean()) if n else 1.0)
-            if min(overlaps[:2]) >= OVERLAP or overlaps[2] >= WHOLE:
-                yield item, score, overlaps[0], overlaps[1], s
+            reach = max(PASSAGE, sum(size))
+
+            def overlaps(start: int, end: int, item: int = item, size: tuple[int, int] = size) -> list[float]:
+                out = []
+                for own, length in zip(self.grams[item], (*size, sum(size)), strict=True):
+                    n = min(GRAM, length)
+                    if n and n not in grams:
+                        grams[n] = ngram_hashes(words, n)
+                    out.append(float(np.isin(own, grams[n][start : max(start, end - n + 1)]).mean()) if n else 1.0)
+                return out
+
+            leaks = lambda x: min(x[:2]) >= OVERLAP or x[2] >= WHOLE
+            if len(scores) > 2 and not leaks(overlaps(0, len(words))):  # no part of a document holds more than all of it
+                continue
+            for s, score in sorted(scores.items(), key=lambda x: (-x[1], x[0])):
+                near = overlaps(max(0, s - reach), min(len(words), s + PASSAGE + reach))
+                if leaks(near):
+                    yield item, score, near[0], near[1], s
+                    break
 
 
 def _search(docs: DataFrame, index: ItemIndex) -> DataFrame:

@@ -89,6 +89,52 @@ def test_decontaminate_equals_full_scoring(vocabulary):
         assert set(got) <= set(full)
 
 
+def test_decontaminate_retrieves_all_passages(vocabulary):
+    rng = random.Random(13)
+    common = vocabulary[:12]
+    items = [(i, " ".join([words(common, 9, rng), *rng.sample(vocabulary, 6)]) + ".", words(vocabulary, 3, rng) + ".") for i in range(60)]
+    index = decontaminate.ItemIndex(items)
+    assert not index.essential.all()
+    for n in range(150):
+        w = [f"x{k}" for k in range(rng.randint(0, 900))]
+        for _ in range(rng.randint(0, 40) if w else 0):
+            k, (_, q, a) = rng.randrange(len(w)), rng.choice(items)
+            w[k:k] = rng.sample(common, 12) + ["y"] * rng.choice([0, 40, 60]) + f"{q} {a}".replace(".", "").split()[rng.randint(0, 12) :]
+        terms = index.terms(textkernel.folded_words([" ".join(w)]).hash)
+        full = {}
+        for s in range(0, max(1, -(-len(terms) // decontaminate.STRIDE) - 1) * decontaminate.STRIDE, decontaminate.STRIDE):
+            chosen = np.isin(index.post_term, list(set(terms[s : s + decontaminate.PASSAGE].tolist()) - {-1}))
+            score = np.bincount(index.post_part[chosen], index.weight[chosen], len(index.item_of))
+            full |= {(int(index.item_of[part]), s): score[part] for part in np.flatnonzero(score >= decontaminate.THRESHOLD)}
+        got = {(item, s): score for item, at in index.retrieved(terms).items() for s, score in at.items()}
+        assert got == pytest.approx(full)
+
+
+def test_decontaminate_pivots_take_the_stride_before():
+    index = decontaminate.ItemIndex([(i, f"a b c own{i} other{i}", "") for i in range(200)])
+    index.needed = 0.9 * index.bound[index.terms(textkernel.folded_words(["own7"]).hash)].max()
+    w = ["z"] * 320
+    w[130], w[200] = "own7", "own9"
+    terms = index.terms(textkernel.folded_words([" ".join(w)]).hash)
+    assert index.pivots(np.array([130, 200]), terms, len(w)) == [64, 128, 192]
+
+
+def test_decontaminate_verifies_later_passages(vocabulary):
+    rng = random.Random(14)
+    for size in (30, 150):  # of one part, and of several
+        q, a = rng.sample(vocabulary, size), ["forty", "two"]
+        index = decontaminate.ItemIndex([(5, " ".join(q) + ".", " ".join(a) + ".")])
+        listed = sorted(q[:60] + a)
+        fill = [f"x{k}" for k in range(1500)]
+        for lists in (1, 4):
+            text = " ".join([*(listed + fill) * lists, *q, *a, *fill])
+            w = textkernel.folded_words([text])
+            got = list(index.leaks(w.hash, index.terms(w.hash)))
+            assert [x[0] for x in got] == [0] and got[0][2:4] == (1.0, 1.0) and got[0][4] >= 1400 * lists
+        w = textkernel.folded_words([" ".join((listed + fill) * 5)])
+        assert not list(index.leaks(w.hash, index.terms(w.hash)))
+
+
 def test_decontaminate_rows(spark):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     docs = spark.read.parquet(f"{SF}/documents.parquet")
