@@ -1,6 +1,7 @@
 """Toxicity by compression distance: windows of a text under an ordinary and a toxic zstandard dictionary.
 
-Training, on a bounded sample of labelled rows. The ordinary dictionary is trained by zstandard on ordinary texts. The
+Training, on a bounded sample of labelled rows, whose whole texts are read on the executors; the driver gets counts,
+spans, pieces for the ordinary dictionary and the features of each row. The ordinary dictionary is trained by zstandard on ordinary texts. The
 toxic one is trained on toxic texts in the manner of the same cover algorithm, but a character sequence counts by how
 much more often toxic texts hold it than ordinary ones do: the spans of such sequences that cover most of this surplus
 are taken until none is left. The toxic dictionary is these spans before the ordinary one, so that ordinary matter
@@ -23,7 +24,7 @@ import heapq
 import math
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,6 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foliary.llm import scratch
+
 WINDOW = 4
 #: Length of the character sequences that are counted, in bytes.
 SEQUENCE = 5
@@ -39,10 +42,14 @@ LIFT = 16
 LEAST_SHARE = 0.004
 TOXIC_BYTES = 16 << 10
 ORDINARY_BYTES = 60 << 10
-#: Bounds of the training sample: rows of each label and characters of one text.
+#: Bound of the training sample: rows of each label.
 SAMPLE_ROWS = 4000
-SAMPLE_CHARS = 8000
+#: Pieces of ordinary texts that the ordinary dictionary is trained on: about so many, so long, and of so many bytes at most.
+PIECES, PIECE_BYTES, PIECES_BYTES = 60000, 1024, 32 << 20
+#: Longer words are taken in overlapping stretches of so many bytes, so that a span is never longer.
 WORD_BYTES = 40
+#: Sequences that a task counts before it hands them on.
+COUNTED = 1 << 18
 FOLDS = 5
 
 
@@ -55,30 +62,21 @@ def windows(text: str | None, size: int = WINDOW) -> list[bytes]:
     return [b" " + b" ".join(words[i : i + size]) + b" " for i in range(0, len(words), size)]
 
 
+def _stretches(word: bytes) -> Iterator[bytes]:
+    """The word between spaces, in stretches that together hold each of its sequences."""
+    x, size = b" " + word + b" ", WORD_BYTES + 2
+    for i in range(0, max(1, len(x) - SEQUENCE + 1), size - SEQUENCE + 1):
+        yield x[i : i + size]
+
+
 def _sequences(text: str) -> set[bytes]:
-    found = set()
-    for w in set(words_of(text)):
-        x = b" " + w[:WORD_BYTES] + b" "
-        found.update(x[i : i + SEQUENCE] for i in range(len(x) - SEQUENCE + 1))
-    return found
-
-
-def toxic_spans(toxic: list[str], ordinary: list[str]) -> list[bytes]:
-    """Spans of toxic texts' words that cover the surplus of their sequences, the greatest surplus first."""
-    here, there = Counter(), Counter()
-    for t in toxic:
-        here.update(_sequences(t))
-    for t in ordinary:
-        there.update(_sequences(t))
-    least = max(3, LEAST_SHARE * len(toxic))
-    surplus = {}
-    for x, n in here.items():
-        gain = n / len(toxic) - LIFT * (there[x] + 0.5) / len(ordinary)
-        if n >= least and gain > 0:
-            surplus[x] = gain
+    return {x[i : i + SEQUENCE] for w in set(words_of(text)) for x in _stretches(w) for i in range(len(x) - SEQUENCE + 1)}
+
+
+def _spans(text: str, surplus: Iterable[bytes]) -> set[bytes]:
+    """The longest spans of the text's words whose sequences all have a surplus."""
     spans: set[bytes] = set()
-    for w in {w[:WORD_BYTES] for t in toxic for w in words_of(t)}:
-        x = b" " + w + b" "
+    for x in {x for w in set(words_of(text)) for x in _stretches(w)}:
         start = None
         for i in range(len(x) - SEQUENCE + 2):
             if i <= len(x) - SEQUENCE and x[i : i + SEQUENCE] in surplus:
@@ -86,6 +84,12 @@ def toxic_spans(toxic: list[str], ordinary: list[str]) -> list[bytes]:
             elif start is not None:
                 spans.add(x[start : i - 1 + SEQUENCE])
                 start = None
+    return spans
+
+
+def cover(spans: set[bytes], surplus: dict[bytes, float]) -> list[bytes]:
+    """The spans that cover the surplus of their sequences, the greatest surplus first."""
+    surplus = dict(surplus)
 
     def worth(x: bytes) -> float:
         return sum(surplus.get(x[i : i + SEQUENCE], 0.0) for i in range(len(x) - SEQUENCE + 1))
@@ -163,44 +167,119 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> list[float]:
     return w.tolist()
 
 
-def train(toxic: list[str], ordinary: list[str]) -> Model:
-    """Both dictionaries and the calibration, from labelled texts in a fixed order."""
+def _pieces(text: str) -> list[bytes]:
+    return [w[i : i + PIECE_BYTES] for w in windows(text, 64) for i in range(0, len(w), PIECE_BYTES)]
+
+
+def _each(sample: DataFrame, schema: str, f: Callable[[Iterator[tuple[int, int, str]]], Iterator[list[tuple]]]) -> DataFrame:
+    """The rows that ``f`` makes of each task's (id, y, text)."""
+    names, kinds = zip(*(c.split() for c in schema.split(", ")), strict=True)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = {"long": pa.int64(), "double": pa.float64(), "binary": pa.binary()}
+        for made in f(row for batch in batches for row in zip(*(batch[c].to_pylist() for c in ("id", "y", "text")), strict=True)):
+            if made:
+                yield pa.RecordBatch.from_arrays([pa.array(c, types[k]) for c, k in zip(zip(*made, strict=True), kinds, strict=True)], list(names))
+
+    return sample.select("id", "y", "text").mapInArrow(rows, schema)
+
+
+def _sizes(texts):
+    for _, y, t in texts:
+        pieces = [] if y else _pieces(t)
+        yield [(y, 1, len(pieces), sum(map(len, pieces)))]
+
+
+def _counts(texts):
+    counts: dict[bytes, list[int]] = {}
+    for _, y, t in texts:
+        for x in _sequences(t):
+            counts.setdefault(x, [0, 0])[y] += 1
+        if len(counts) > COUNTED:
+            yield [(x, *n) for x, n in counts.items()]
+            counts = {}
+    yield [(x, *n) for x, n in counts.items()]
+
+
+def train(sample: DataFrame) -> Model:
+    """Both dictionaries and the calibration, from the whole texts of labelled rows (id, y, text)."""
     import zstandard as zs
 
-    if not toxic or not ordinary:
-        return Model(b"", b"", [len(toxic) / max(1, len(toxic) + len(ordinary))])
-    pieces = [w for t in ordinary for w in windows(t, 64)]
-    raw = b"".join(pieces)
+    sizes = {r["y"]: r for r in _each(sample, "y long, texts long, pieces long, bytes long", _sizes).groupBy("y").agg(F.sum("texts").alias("texts"), F.sum("pieces").alias("pieces"), F.sum("bytes").alias("bytes")).collect()}
+    n_toxic, n_ordinary = (sizes[y]["texts"] if y in sizes else 0 for y in (1, 0))
+    unknown = Model(b"", b"", [n_toxic / max(1, n_toxic + n_ordinary)])
+    if not n_toxic or not n_ordinary:
+        return unknown
+    toxic, ordinary = sample.where("y = 1"), sample.where("y = 0")
+
+    counts = _each(sample, "x binary, ordinary long, toxic long", _counts).groupBy("x").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
+    gain = F.col("toxic") / F.lit(float(n_toxic)) - F.lit(float(LIFT)) * (F.col("ordinary") + 0.5) / F.lit(float(n_ordinary))
+    surplus = {bytes(r["x"]): r["gain"] for r in counts.select("x", gain.alias("gain"), "toxic").where((F.col("toxic") >= max(3, LEAST_SHARE * n_toxic)) & (F.col("gain") > 0)).orderBy("x").collect()}
+
+    def spans_of(texts):
+        found = set()
+        for _, _, t in texts:
+            found |= _spans(t, surplus)
+        yield [(x,) for x in found]
+
+    spans = cover({bytes(r["x"]) for r in _each(toxic, "x binary", spans_of).distinct().collect()}, surplus) if surplus else []
+    if not spans:
+        return unknown
+
+    step = max(1, sizes[0]["pieces"] // PIECES, -(-sizes[0]["bytes"] // PIECES_BYTES))
+
+    def pieces_of(texts):
+        for i, _, t in texts:
+            yield [(i, k, x) for k, x in enumerate(_pieces(t)) if zlib.crc32(x + b"%d %d" % (i, k)) % step == 0]
+
+    pieces = [bytes(r["x"]) for r in _each(ordinary, "id long, k long, x binary", pieces_of).orderBy("id", "k", "x").collect()]
     try:
-        base = zs.train_dictionary(ORDINARY_BYTES + 4096, pieces[:: max(1, len(pieces) // 60000)], k=256, d=8, steps=1, level=3).as_bytes()[-ORDINARY_BYTES:]
+        base = zs.train_dictionary(ORDINARY_BYTES + 4096, pieces, k=256, d=8, steps=1, level=3).as_bytes()[-ORDINARY_BYTES:]
     except zs.ZstdError:  # too little to train on: the matter itself is the dictionary
-        base = raw[-ORDINARY_BYTES:]
-    spans = toxic_spans(toxic, ordinary)
-    if not spans:
-        return Model(b"", b"", [len(toxic) / (len(toxic) + len(ordinary))])
+        base = b"".join(pieces)[-ORDINARY_BYTES:]
+
+    def tally(texts: DataFrame, found_in: Callable[[str], set[int]]) -> Counter:
+        def rows(texts):
+            n: Counter = Counter()
+            for _, _, t in texts:
+                n.update(found_in(t))
+            yield list(n.items())
+
+        return Counter({r["n"]: r["texts"] for r in _each(texts, "n long, texts long", rows).groupBy("n").agg(F.sum("texts").alias("texts")).collect()})
+
     for _ in range(2):
-        gains = Gains(base, b"\n".join(reversed(spans)))
-        blamed: Counter = Counter()
+        content = b"\n".join(reversed(spans))
         where = {x[i : i + SEQUENCE]: n for n, x in enumerate(spans) for i in range(len(x) - SEQUENCE + 1)}
-        for t in ordinary:
-            found = set()
-            for g, w in zip(gains(t), windows(t), strict=True):
-                if g >= 2:
-                    found.update(where[s] for s in (w[i : i + SEQUENCE] for i in range(len(w) - SEQUENCE + 1)) if s in where)
-            blamed.update(found)
-        wanted: Counter = Counter()
-        for t in toxic:
+        kept: list[Gains] = []  # a task's own
+
+        def gaining(t: str, content: bytes = content, where: dict[bytes, int] = where, kept: list[Gains] = kept) -> set[int]:
+            if not kept:
+                kept.append(Gains(base, content))
+            return {where[s] for g, w in zip(kept[0](t), windows(t), strict=True) if g >= 2 for s in (w[i : i + SEQUENCE] for i in range(len(w) - SEQUENCE + 1)) if s in where}
+
+        blamed = tally(ordinary, gaining)
+        if not blamed:
+            break
+        named = {n: spans[n] for n in blamed}
+
+        def holding(t: str, named: dict[int, bytes] = named) -> set[int]:
             text = b" " + b" ".join(words_of(t)) + b" "
-            wanted.update(n for n in blamed if spans[n] in text)
-        gone = {n for n, c in blamed.items() if LIFT * c / len(ordinary) > wanted[n] / len(toxic)}
+            return {n for n, x in named.items() if x in text}
+
+        wanted = tally(toxic, holding)
+        gone = {n for n, c in blamed.items() if LIFT * c / n_ordinary > wanted[n] / n_toxic}
         if not gone or len(gone) == len(spans):
             break
         spans = [x for n, x in enumerate(spans) if n not in gone]
     content = b"\n".join(reversed(spans))
-    gains = Gains(base, content)
-    x = np.array([features(gains(t)) for t in toxic + ordinary])
-    y = np.array([1.0] * len(toxic) + [0.0] * len(ordinary))
-    return Model(base, content, _logistic(x, y))
+
+    def features_of(texts):
+        gains = Gains(base, content)
+        for _, y, t in texts:
+            yield [(y, *features(gains(t)))]
+
+    rows = np.array([tuple(r) for r in _each(sample, "y long, a double, b double, c double, d double, e double", features_of).orderBy("y", "a", "b", "c", "d", "e").collect()], dtype=float)
+    return Model(base, content, _logistic(rows[:, 1:], rows[:, 0]))
 
 
 def held_out_id(doc_id: int) -> bool:
@@ -216,9 +295,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str =
     for y in (1, 0):
         some = marked.where(F.col("y") == y).orderBy(rank, "id").limit(SAMPLE_ROWS)
         picked = some if picked is None else picked.unionByName(some)
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.substring(F.col(text_col).cast("string"), 1, SAMPLE_CHARS).alias("text"))
-    rows = texts.join(F.broadcast(picked), "id").orderBy("id", "y", "text").collect()
-    return train([r["text"] or "" for r in rows if r["y"] == 1], [r["text"] or "" for r in rows if r["y"] == 0])
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    return train(scratch.save(texts.join(F.broadcast(picked), "id").select("id", F.col("y").cast("long").alias("y"), "text"), "labelled"))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -179,6 +179,26 @@ def test_toxicity_held_out(spark):
     assert {r["score"] for r in toxicity.score(documents(spark), alone).collect()} == {1.0}
 
 
+def test_toxicity_learns_from_whole_texts(spark):
+    rng = random.Random(15)
+    plain = ["".join(rng.choice(["the", "an", "er", "tion", "re", "in", "st"]) for _ in range(rng.randint(1, 3))) for _ in range(300)]
+    rows, labels = [], []
+    for i in range(240):
+        w = words(plain, 1800, rng)
+        toxic = i % 3 == 0
+        if toxic:  # after character 8000, or after byte 40 of a run without spaces
+            w += " " + " ".join(["blorgish"] * 3 if i % 2 else [w[:200].replace(" ", "") + "vexnordzum"] * 3)
+        assert len(w) > 8200
+        rows.append((i, w))
+        labels.append((i, int(toxic)))
+    docs = documents(spark, rows)
+    model = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert b"blorgish" in model.toxic and b"vexnordzum" in model.toxic
+    got = toxicity.score(docs, model).collect()
+    truth = dict(labels)
+    assert sum(r["predicted"] == truth[r["doc_id"]] for r in got) / len(got) > 0.97
+
+
 # 3
 
 
