@@ -125,14 +125,14 @@ def q_intake(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_docx_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Packages built from the documents, written nowhere: scanned, classified and fingerprinted."""
-    packages = docx.synthetic(table(spark, sf_dir, "documents").where("n_chars < 4000").select("doc_id", "text"))
+    """Packages built from all documents with their whole texts, written nowhere: scanned, classified and fingerprinted."""
+    packages = docx.synthetic(table(spark, sf_dir, "documents").select("doc_id", "text"))
     blocks = docx.blocks(packages)
     return blocks.groupBy("doc_id").agg(F.count_if(F.col("kind") == "paragraph").alias("paragraphs"), F.count_if(F.col("kind") == "table").alias("tables"), F.count_if(F.col("kind") == "table_cell").alias("cells"), F.max("style_name").alias("style_name"))
 
 
 def q_docx_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packages = docx.synthetic(table(spark, sf_dir, "documents").where("n_chars < 4000").select("doc_id", "text"))
+    packages = docx.synthetic(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return docx.package_report(packages).groupBy("error").agg(F.count("*").alias("packages"), F.min("parts").alias("parts"))
 
 
