@@ -8,7 +8,8 @@ Kinds: payment cards (13 to 19 digits, Luhn; first digit kept, check digit renew
 letters kept, check digits renewed), US social security numbers, phone numbers (North American with area and exchange
 rules; others in +international form, first two digits kept), IPv4 addresses, dates from 1900 to 2099 (year-month-day,
 day-month-year, unambiguous month-day-year, English month names), and the local parts of e-mail addresses, letter for
-letter and digit for digit. What does not validate is left as it stands.
+letter and digit for digit. Of a card or IBAN whose match is not valid in full, the longest valid run of leading groups
+counts. What does not validate is left as it stands.
 
 Defined cases: null stays null and empty empty, with no spans; a date like 04/05/2020 is read day first; the earliest
 match wins where two overlap, and of those the kind that stands first in KINDS; the format's rare fixed points may map
@@ -223,49 +224,85 @@ KINDS: tuple[tuple[str, str, Callable[[str, Permute], str | None]], ...] = (
     ("phone", r"(?<![\w.])(?:\+1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![\w-])|(?<![\w.])\+[0-9]{1,3}(?:[ .-]?\(?[0-9]{1,5}\)?){2,6}(?![\w-])", _phone),
     ("card", r"(?<![\w.-])[0-9](?:[ -]?[0-9]){12,18}(?![\w-])", _card),
 )
+#: Kinds whose numbers are written in groups, so that a match may take in groups that follow the number.
+GROUPED = frozenset(["card", "iban"])
 _PATTERN = re.compile("|".join(f"(?P<k{n}>{re.sub(chr(92) + chr(92) + '([12])', lambda m, n=n: f'(?P=s{n}{m[1]})', p)})" for n, (_, p, _) in enumerate((k, re.sub(r'\(\[-/\.\]\)', lambda m, c=iter('12'), n=i: f'(?P<s{n}{next(c)}>[-/.])', p), f) for i, (k, p, f) in enumerate(KINDS))))
 _HINT = re.compile(r"[0-9@]")
 
 
-def rewrite(text: str, permute: Permute) -> tuple[str, list[tuple[int, int, str]]]:
-    """The text with its values permuted, and (start, end, kind) of each in the original."""
-    if not _HINT.search(text):
-        return text, []
-    out, spans, done, at = [], [], 0, 0
-    while m := _PATTERN.search(text, at):
-        kind, _, f = KINDS[int(m.lastgroup[1:])] if m.lastgroup[0] == "k" else (None, None, None)
-        if kind is None:
-            n = next(i for i in range(len(KINDS)) if m[f"k{i}"] is not None)
-            kind, _, f = KINDS[n]
-        new = f(m[0], permute)
-        if new is None:  # another kind may begin within what did not validate
-            at = m.start() + 1
-            while at < m.end() and text[at - 1].isalnum():
-                at += 1
-            new = _others(text, m, permute)
-            if new is None:
-                continue
-            kind, end, new = new
-        else:
-            end = m.end()
-        out += [text[done : m.start()], new]
-        spans.append((m.start(), end, kind))
-        done = at = end
-    out.append(text[done:])
-    return "".join(out), spans
+#: Characters after a value that its check for ambiguity sees, more than any number's pattern reaches.
+AHEAD = 128
+_SINGLE = [re.compile(p) for _, p, _ in KINDS]
 
 
-_SINGLE = [re.compile(p) for _, p, _ in KINDS]
+def _same(kind: str, x: int, n: int) -> int:
+    return x
+
+
+def _whole(text: str, start: int) -> int | None:
+    """The end of a number with groups that is valid in its full length at this place."""
+    ends = [x.end() for (kind, _, f), p in zip(KINDS, _SINGLE, strict=True) if kind in GROUPED and (x := p.match(text, start)) and f(x[0], _same) is not None]
+    return max(ends, default=None)
 
 
-def _others(text: str, m: re.Match, permute: Permute) -> tuple[str, int, str] | None:
-    """A later kind that matches and validates at the same place."""
-    for (kind, _, f), p in zip(KINDS, _SINGLE, strict=True):
-        if (x := p.match(text, m.start())) and (new := f(x[0], permute)) is not None:
-            return kind, x.end(), new
+def _shorter(text: str, start: int) -> tuple[int, int] | None:
+    """(kind's place, end) of the longest valid run of leading groups of a number whose full length is not valid.
+
+    A longer number that is valid in its full length and begins at one of the groups comes first.
+    """
+    for n, ((kind, _, f), p) in enumerate(zip(KINDS, _SINGLE, strict=True)):
+        if kind not in GROUPED or not (m := p.match(text, start)):
+            continue
+        for k in range(m.end() - 1, start, -1):
+            if text[k] in " -" and p.fullmatch(text, start, k) and f(text[start:k], _same) is not None:
+                later = (_whole(text, j + 1) for j in range(start, k) if text[j] in " -")
+                return None if any(end and end > k for end in later) else (n, k)
     return None
 
 
+def _find(text: str, at: int) -> tuple[int, int, int, bool] | None:
+    """(start, end, kind's place, whether a failed candidate overlaps) of the first value from ``at`` on."""
+    failed = -1
+    while m := _PATTERN.search(text, at):
+        n = next(i for i in range(len(KINDS)) if m[f"k{i}"] is not None)
+        start = m.start()
+        if KINDS[n][2](m[0], _same) is not None:
+            return start, m.end(), n, start < failed
+        for i, p in enumerate(_SINGLE):  # another kind at the same place
+            if (x := p.match(text, start)) and KINDS[i][2](x[0], _same) is not None:
+                return start, x.end(), i, True
+        if found := _shorter(text, start):
+            return start, found[1], found[0], True
+        failed = max(failed, m.end())
+        at = start + 1
+        while at < m.end() and text[at - 1].isalnum():
+            at += 1
+    return None
+
+
+def rewrite(text: str, permute: Permute) -> tuple[str, list[tuple[int, int, str]]]:
+    """The text with its values permuted, and (start, end, kind) of each in the original.
+
+    Where a number stands in a longer candidate that is not valid, its pseudonym must not make the candidate valid, or it
+    could not be read back: it is permuted again until that is so, and may there differ from that of an equal number elsewhere.
+    """
+    if not _HINT.search(text):
+        return text, []
+    out, spans, at = [], [], 0
+    while hit := _find(text, at):
+        start, end, n, unsure = hit
+        kind, _, f = KINDS[n]
+        new = f(text[start:end], permute)
+        low = max(0, at - 1)
+        while unsure and kind in GROUPED and _find(text[low:start] + new + text[end : end + AHEAD], at - low)[:3] != (start - low, start - low + len(new), n):
+            new = f(new, permute)
+        out += [text[at:start], new]
+        spans.append((start, end, kind))
+        at = end
+    out.append(text[at:])
+    return "".join(out), spans
+
+
 def permuter(key: bytes, back: bool = False) -> Permute:
     feistel = Feistel(key)
     return lambda kind, x, n: feistel.permute(kind, x, n, back)
