@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,9 +11,12 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a temporary folder only where that is unset (tests, local runs)."""
+    """The cluster's ``spark.checkpoint.dir``; a temporary folder only where that is unset and all runs on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.conf.get("spark.master", "")
+        if not re.fullmatch(r"local(\[[^,\]]*(,[^\]]*)?\])?", master):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that the driver and all executors share (master {master!r})")
         found = "file://" + tempfile.mkdtemp(prefix="foliary-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -22,6 +26,12 @@ def fresh(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/foliary/{name}-{uuid.uuid4().hex}"
 
 
+def clear(spark: SparkSession) -> None:
+    """Delete the tables that ``save`` has written; results that were not written elsewhere before are lost."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/foliary")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def save(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet into the shared folder and read it back.
 

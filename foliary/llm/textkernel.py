@@ -27,13 +27,13 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_TABLE: list[np.ndarray] = []
+_TABLES: dict[int, np.ndarray] = {}
 
 
-def _char_codes() -> np.ndarray:
-    if not _TABLE:
-        _TABLE.append(mix(np.arange(1, 0x110001, dtype=U) * U(0xD6E8FEB86659FD93)))
-    return _TABLE[0]
+def _char_codes(family: int) -> np.ndarray:
+    if family not in _TABLES:
+        _TABLES[family] = mix(np.arange(1, 0x110001, dtype=U) * U(0xD6E8FEB86659FD93) + U(family * 0x9FB21C651E98DF25 & 0xFFFFFFFFFFFFFFFF))
+    return _TABLES[family]
 
 
 def _power(base: int, n: int) -> np.ndarray:
@@ -64,12 +64,12 @@ def is_blank(points: np.ndarray) -> np.ndarray:
 
 
 class Slices:
-    """Hashes of slices [start, end) of a code point array."""
+    """Hashes of slices [start, end) of a code point array; another family of hashes agrees by chance only."""
 
-    def __init__(self, points: np.ndarray):
+    def __init__(self, points: np.ndarray, family: int = 0):
         n = len(points)
         self.prefix = np.zeros(n + 1, dtype=U)
-        np.cumsum(_char_codes()[points] * _power(_P, n + 1)[:n], out=self.prefix[1:])
+        np.cumsum(_char_codes(family)[points] * _power(_P, n + 1)[:n], out=self.prefix[1:])
         self.back = _power(_P_INV, n + 1)
 
     def hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:

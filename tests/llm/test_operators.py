@@ -422,39 +422,51 @@ def edited(rng, n):
 
 
 def test_banded_distance():
-    pairs = edited(random.Random(10), 1500)
+    rng = random.Random(10)
+    pairs = edited(rng, 1500)
+    pairs += [("".join(rng.choice("ab") for _ in range(rng.randint(0, 4))), "".join(rng.choice("ab") for _ in range(rng.randint(0, 6)))) for _ in range(500)]
     for k in (1, 2, 3):
         assert linedup.distances(pairs, k).tolist() == [min(edit_distance(a, b), k + 1) for a, b in pairs]
 
 
-@pytest.mark.parametrize("cell", [4096, 6])
+@pytest.mark.parametrize("cell", [1024, 6])
 def test_line_dedup_equals_brute_force(spark, cell, monkeypatch):
     monkeypatch.setattr(linedup, "CELL", cell)
     rng = random.Random(11)
-    lines = [x for p in edited(rng, 250) for x in p] + ["short", "short", "", " "]
+    lines = [x for p in edited(rng, 200) for x in p] + ["short", "short", "", " ", "a short line.", "a short lime.", "a short lime!"]
+    for _ in range(150):  # of 0 to 40 characters
+        a = "".join(rng.choice("ab ") for _ in range(rng.randint(0, 40)))
+        k = rng.randint(0, len(a))
+        lines += [a, a[:k] + rng.choice("abc") + a[k + rng.randint(0, 1) :], a[:k] + a[k + 2 :]]
+    lines += [f"posted by user {a}{b} on monday" for a in "0123456789" for b in "012345678"]  # a group of which all are linked
     rng.shuffle(lines)
     rows = [(i, "\n".join(lines[8 * i : 8 * i + 8])) for i in range(len(lines) // 8 + 1)]
     got = linedup.find(documents(spark, rows)).collect()
     text = {(i, n): x for i, t in rows for n, x in enumerate(t.split("\n")) if x.strip()}
     assert {(r["doc_id"], r["line_no"]) for r in got} == set(text)
     known = sorted(set(text.values()))
-    pairs = [(a, b) for n, a in enumerate(known) for b in known[n + 1 :] if len(a) >= 20 and len(b) >= 20 and abs(len(a) - len(b)) <= 2 and edit_distance(a, b) <= 2]
+    allowed = lambda a, b: min(2, min(len(a), len(b)) // 10)
+    pairs = [(a, b) for n, a in enumerate(known) for b in known[n + 1 :] if allowed(a, b) >= max(1, abs(len(a) - len(b))) and edit_distance(a, b) <= allowed(a, b)]
     degree, comp = Counter(x for p in pairs for x in p), union_find(pairs, known)
     first = {}
     for place in sorted(text):
         first.setdefault(comp[text[place]], place)
     for r in got:
         place = (r["doc_id"], r["line_no"])
-        assert r["n_links"] == degree[text[place]] and r["kept"] == (first[comp[text[place]]] == place)
-    assert len({r["class_id"] for r in got}) == len(set(comp.values()))
+        assert (r["n_links"], r["class_doc"], r["class_line"]) == (degree[text[place]], *first[comp[text[place]]])
+        assert r["kept"] == (first[comp[text[place]]] == place)
 
 
 def test_line_dedup_odd_input(spark):
     got = linedup.find(documents(spark)).collect()
     assert sum(r["doc_id"] == 4 for r in got) == 2 and all(r["kept"] for r in got)
-    out = linedup.drop_repeats(documents(spark, [(1, "a line of some length here\nshort\n\nshort"), (2, "a line of some length hexe\nb"), (3, None)]))
-    assert {r["doc_id"]: r["text"] for r in out.collect()} == {1: "a line of some length here\nshort", 2: "b", 3: ""}
+    out = linedup.drop_repeats(documents(spark, [(1, "a line of some length here\nshort\n\nshort"), (2, "a line of some length hexe\nb"), (3, None), (4, "one of two rows"), (4, "one of two rows")]))
+    assert sorted((r["doc_id"], r["text"]) for r in out.collect()) == [(1, "a line of some length here\nshort"), (2, "b"), (3, ""), (4, "one of two rows"), (4, "one of two rows")]
+    assert out.columns == documents(spark).columns
     assert linedup.find(documents(spark).limit(0)).count() == 0
+    long = "x y " * 40_000
+    pair = linedup.find(documents(spark, [(1, long + "end"), (2, long + "and"), (3, "y" + long)])).collect()
+    assert {(r["doc_id"], r["n_links"], r["class_doc"], r["kept"]) for r in pair} == {(1, 1, 1, True), (2, 1, 1, False), (3, 0, 3, True)}
 
 
 # 9
