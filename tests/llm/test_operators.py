@@ -274,6 +274,38 @@ def test_main_text_of_a_split_body(around, first, second):
         assert [x for x in got if x != "x"] == lines
 
 
+LINE = "A sentence of the article, with some words in it. And one more."
+
+
+@pytest.mark.parametrize("around", ['<div class="page sidebar-right">{}</div>', '<div class="ad-free">{}</div>', '<article class="social-science">{}</article>', '<div id="menu-page"><section class="no-sidebar">{}</section></div>'])
+def test_main_text_under_misleading_names(around):
+    got = tagpaths.main_text(f"<body><div class='sidebar-right'>Links, more links.</div>{around.format(f'<p>{LINE}</p>' * 5)}<div class='comments'>{f'<p>{LINE}</p>' * 30}</div></body>")
+    assert got == "\n".join([LINE] * 5)
+
+
+def test_main_text_of_odd_markup():
+    page = f"<article><header><h1>T</h1><p>{LINE} {LINE}</p><p>by me</p></header><p>If <math><mi>x</mi><mo>=</mo><mn>2</mn></math>, then <img src=x> <script>no()</script>so.</p><p>{LINE}</p><hr><p>Short</p><ul><li>a<li>b</ul><div><a>Share</a> <a>Print</a></div></article>"
+    assert tagpaths.main_text(page) == f"T\n{LINE} {LINE}\nIf x=2, then so.\n{LINE}\nShort\na\nb"
+
+
+def test_main_text_paths_decide():
+    links = "".join(f"<a href=x>Go{n}</a><br>" for n in range(5))
+    page = f"<body><div class=zig>{links}</div><div class=zag><h2>T</h2>{f'<p>{LINE}</p>' * 8}<div>cap</div><p>{LINE}</p><p>end</p></div><div class=zog>{links}</div></body>"
+    assert tagpaths.main_text(page) == "\n".join(["T", *[LINE] * 8, "cap", LINE, "end"])
+
+
+def test_main_text_grows_with_the_page():
+    import time
+
+    took = []
+    for n in (4000, 16000):
+        start = time.perf_counter()
+        for page in ("<div>" * n + "x", "<div>x" * n, ("<b>" * 4 + "<h1>") * n, "<div>" * n + "</p></td>" * n, "<a " * n, "<p>" * n + "<td>" * n, "<i>" * n + "<tr><td>" * n):
+            tagpaths.main_text(page)
+        took.append(time.perf_counter() - start)
+    assert took[1] < 10 * took[0] + 1
+
+
 def test_main_text_of_all_pages(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     got = {r["page_id"]: r for r in tagpaths.extract(pages.withColumn("text", F.lit(1))).collect()}
@@ -284,8 +316,9 @@ def test_main_text_of_all_pages(spark):
         blocks = [re.sub(r"\s+", " ", html.unescape(re.sub(r"<(?!/?p|/?h1)[^>]+>", " ", b))).strip() for b in re.split(r"</?p>|</?h1>", inner)]
         want = "\n".join(b for b in blocks if b)
         assert got[r["page_id"]]["text"] == want and got[r["page_id"]]["n_chars"] == len(want) and got[r["page_id"]]["url"] == r["url"]
-    odd = spark.createDataFrame([(None, None, None), (1, "u", "<p>" * 2000 + "deep")], "page_id long, url string, html string")
-    assert sorted(r["text"] for r in tagpaths.extract(odd).collect()) == ["", "deep"]
+    odd = spark.createDataFrame([(None, None, None), (1, "u", "<p>" * 2000 + "deep"), (1, "u", "<p>" * 2000 + "deep"), (2, "", "<p>word</p>" * 50_000)], "page_id long, url string, html string")
+    assert sorted(r["text"] for r in tagpaths.extract(odd).collect()) == ["", "deep", "deep", "\n".join(["word"] * 50_000)]
+    assert tagpaths.extract(odd.limit(0)).count() == 0
 
 
 # 5
