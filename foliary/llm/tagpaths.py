@@ -66,7 +66,7 @@ ASIDE_NAMES = frozenset(
     teaser teasers outbrain taboola byline-ad copyright legal disclaimer""".split()
 )
 #: Parts of a name that leave it saying the same.
-NEUTRAL_PARTS = frozenset("box list container wrapper wrap area block section slot unit links buttons items item body site page top bottom bar inner outer content posts post form text".split())
+NEUTRAL_PARTS = frozenset("box list container wrapper wrap area block section slot unit links buttons item items body top bottom bar inner outer form".split())
 PLAIN_CONTAINERS = frozenset(["html", "body", "main"])
 HEADINGS = frozenset(["h1", "h2", "h3", "h4", "h5", "h6"])
 

@@ -284,7 +284,7 @@ def test_main_text_under_misleading_names(around):
 
 
 def test_main_text_of_odd_markup():
-    page = f"<article><header><h1>T</h1><p>{LINE} {LINE}</p><p>by me</p></header><p>If <math><mi>x</mi><mo>=</mo><mn>2</mn></math>, then <img src=x> <script>no()</script>so.</p><p>{LINE}</p><hr><p>Short</p><ul><li>a<li>b</ul><div><a>Share</a> <a>Print</a></div></article>"
+    page = f"<article><header><h1>T</h1><p>{LINE} {LINE}</p><span>by me</span></header><p>If <math><mi>x</mi><mo>=</mo><mn>2</mn></math>, then <img src=x> <script>no()</script>so.</p><p>{LINE}</p><hr><p>Short</p><ul><li>a<li>b</ul><div><a>Share</a> <a>Print</a></div></article>"
     assert tagpaths.main_text(page) == f"T\n{LINE} {LINE}\nIf x=2, then so.\n{LINE}\nShort\na\nb"
 
 
