@@ -2,8 +2,8 @@
 
 A page is read once into text blocks, each with its root-to-leaf path of tags (of a container, with its class and id). For
 every path, text length and punctuation are summed and divided by the path's blocks; the two ratios are smoothed along
-the page with a Gaussian kernel and fused by their geometric mean, and paths whose fused value is at least the page's
-threshold are content. What is taken of the page:
+the page with a Gaussian kernel and fused by geometric means, also with the unsmoothed ones, and paths whose fused value
+is at least the page's threshold are content. What is taken of the page:
 
 * every block on a content path;
 * headings, and all that stands between content blocks, within the deepest element that holds all content (widened to an
@@ -41,7 +41,7 @@ from foliary.llm.markup import INLINE, RAW, VOID, attributes, tokens
 
 #: Blocks on each side that the kernel reaches, and its deviation in blocks.
 REACH, DEVIATION = 2, 1.0
-#: Share of the page's mean fused value that makes a path content.
+#: Share of the page's mean fused value, weighted by text, that makes a path content.
 THRESHOLD = 0.5
 
 _SPACE = re.compile(r"\s+")
@@ -221,7 +221,7 @@ class Page:
         self.blocks = [b for b in self.blocks if not gone[b[0]]]
 
     def fused(self) -> list[float]:
-        """The smoothed and fused path ratios of the blocks."""
+        """The fused path ratios of the blocks: of length and punctuation, and of a path's own and the smoothed ones."""
         size: dict[int, list[float]] = {}
         for e, text in self.blocks:
             s = size.setdefault(self.path[e], [0, 0, 0])
@@ -239,7 +239,9 @@ class Page:
                 out.append(sum(w * v for w, v in near) / sum(w for w, _ in near))
             return out
 
-        return [math.sqrt(a * (1 + b)) for a, b in zip(smooth(lengths), smooth(marks), strict=True)]
+        fuse = lambda a, b: [math.sqrt(x * (1 + y)) for x, y in zip(a, b, strict=True)]
+        own, near = fuse(lengths, marks), fuse(smooth(lengths), smooth(marks))
+        return [math.sqrt(x * y) for x, y in zip(own, near, strict=True)]
 
     def content(self) -> list[bool]:
         """Which blocks are on content paths: a path's value is the mean of its blocks' fused ones."""
@@ -250,7 +252,7 @@ class Page:
             s[0] += v
             s[1] += 1
         marked = {self.path[e] for e, t in self.blocks if self.header[e] and _PUNCTUATION.search(t)}
-        level = THRESHOLD * sum(values) / len(values)
+        level = THRESHOLD * sum(v * len(t) for v, (_, t) in zip(values, self.blocks, strict=True)) / sum(len(t) for _, t in self.blocks)
         return [by_path[self.path[e]][0] / by_path[self.path[e]][1] >= level and (not self.header[e] or self.path[e] in marked) for e, _ in self.blocks]
 
     def container(self, held: list[float]) -> int:
