@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 
+from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +27,11 @@ def fresh(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/foliary/{name}-{uuid.uuid4().hex}"
 
 
+def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a URI or a local path, and the path in it."""
+    return pafs.FileSystem.from_uri(uri if "://" in uri else uri.replace("file:", "file://", 1) if uri.startswith("file:") else f"file://{uri}")
+
+
 def clear(spark: SparkSession) -> None:
     """Delete the tables that ``save`` has written; results that were not written elsewhere before are lost."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/foliary")

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foliary.llm.scratch import fresh, save
+from foliary.llm.scratch import fresh, open_fs, save
 from foliary.llm.textkernel import Slices, batches_by_chars, codepoints
 
 NULL_ID = -(1 << 63)
@@ -212,10 +212,6 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(uri if "://" in uri else uri.replace("file:", "file://", 1) if uri.startswith("file:") else f"file://{uri}")
-
-
 @dataclass(frozen=True)
 class TokenFiles:
     """A written set of token files."""

@@ -3,14 +3,19 @@
 For each response record two records are made, as a web archive's metadata and text files hold them:
 
 * ``metadata`` (application/json): the source record's headers in their order, the HTTP status line and headers, the
-  payload's length and digest and whether the digest agrees, the page's title, language and links;
+  payload's length and digest and whether the stated digest agrees (null if there is none that can be told), the page's
+  title, language and links;
 * ``conversion`` (text/plain): the visible text of an HTML or plain-text payload in UTF-8.
 
+A payload is what a response's chunks hold; gzip, deflate and zstd codings are undone for its text. ``read_files`` reads
+records from WARC files, ``responses`` makes them of a table of pages.
+
 Both refer to the source record by WARC-Refers-To, carry its target URI, date and payload digest, name each other in
 WARC-Concurrent-To, and have ids derived from the source id, so that a repeated run makes the same records.
 
 Defined cases: records of other types, such as requests, make none; a record that is null or cannot be parsed makes a metadata
-record that says so and refers to nothing; a payload that is neither HTML nor plain text makes no conversion record; an empty one makes an empty one; a
+record that says so and refers to nothing; a payload that is neither HTML nor plain text, or whose content coding cannot
+be undone, makes no conversion record, and the metadata record names the fault; an empty one makes an empty one; a
 response without an id gets one of its digest; repeated rows make equal records; further columns are ignored.
 """
 
@@ -20,32 +25,47 @@ import base64
 import gzip
 import hashlib
 import html
+import itertools
 import json
 import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliary.llm.markup import attributes, tokens
+from foliary.llm.scratch import open_fs
+
 VERSION = "WARC/1.0"
 _HEAD_END = re.compile(rb"\r?\n\r?\n")
 _CHARSET = re.compile(r"charset\s*=\s*[\"']?\s*([\w.:-]+)", re.I)
 _META_CHARSET = re.compile(rb"<meta[^>]+charset\s*=\s*[\"']?\s*([\w.:-]+)", re.I)
-_HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|head|svg|iframe)\b.*?(?:</\1\s*>|\Z)", re.S | re.I)
-_BREAK = re.compile(r"</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|header|hr|html|li|main|nav|ol|option|p|pre|section|table|td|th|tr|ul)\b[^>]*>", re.I)
-_TAG = re.compile(r"<[a-zA-Z/!?][^>]*>")
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)(?:</title|\Z)", re.S | re.I)
-_LANG = re.compile(r"<html\b[^>]*\blang\s*=\s*[\"']?([\w-]+)", re.I)
-_LINK = re.compile(r"<(a|link|img|iframe|area|script)\b[^>]*?\b(?:href|src)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']+)", re.I)
+
+# fixed values: elements that begin a new line, and attributes that hold links
+BREAKS = frozenset("address article aside blockquote body br dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol option p pre section table td th tr ul".split())
+LINKS = {"a": "href", "link": "href", "area": "href", "img": "src", "iframe": "src", "script": "src"}
+#: Bytes that a reader of files takes at a time.
+CHUNK = 1 << 20
 
 
 def digest(data: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
+def agrees(stated: str, data: bytes) -> bool | None:
+    """Whether a stated digest, in base 32 or hexadecimal digits, is that of the data; None if it cannot be told."""
+    name, _, value = stated.partition(":")
+    if not value or name.lower().replace("-", "") not in ("md5", "sha1", "sha256", "sha384", "sha512"):
+        return None
+    found = hashlib.new(name.lower().replace("-", ""), data).digest()
+    return value.strip().rstrip("=").upper() in (base64.b32encode(found).decode().rstrip("="), found.hex().upper())
+
+
 def derived_id(source: str, kind: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{source}#{kind}')}>"
 
@@ -109,28 +129,93 @@ def read_records(data: bytes) -> Iterator[bytes]:
         data = data[end:].lstrip(b"\r\n")
 
 
+def read_stream(file: BinaryIO) -> Iterator[bytes]:
+    """The records of an open WARC file, plain or gzipped; it holds one record at a time."""
+    first = file.read(2)
+    plain = _gunzipped(file, first) if first == b"\x1f\x8b" else itertools.chain([first], iter(lambda: file.read(CHUNK), b""))
+    held = bytearray()
+
+    def more() -> bool:
+        part = next(plain, b"")
+        held.extend(part)
+        return bool(part)
+
+    while True:
+        while held[:1] in (b"\r", b"\n") or (not held and more()):
+            del held[: len(held) - len(held.lstrip(b"\r\n"))]
+        while not (m := _HEAD_END.search(held)) and more():
+            pass
+        if not held:
+            return
+        length = _get(_headers(bytes(held[: m.start()]))[1], "Content-Length") if m else ""
+        end = m.end() + int(length) if length.isdigit() else 0
+        while (not end or len(held) < end) and more():
+            pass
+        yield bytes(held[: end or len(held)])  # what cannot be parsed is handed on as it stands
+        del held[: end or len(held)]
+
+
+def _gunzipped(file: BinaryIO, data: bytes) -> Iterator[bytes]:
+    """The bytes of all members of a gzipped file, of a broken one those before the fault."""
+    d = zlib.decompressobj(31)
+    while data or (data := file.read(CHUNK)):
+        try:
+            out = d.decompress(data, CHUNK)
+        except zlib.error:
+            return
+        if out:
+            yield out
+        data = d.unconsumed_tail or d.unused_data
+        if d.eof:
+            data = data.lstrip(b"\0")
+            d = zlib.decompressobj(31)
+
+
 def _payload(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
-    """Status line, headers and body of an HTTP response; chunks are joined and gzip is undone."""
+    """Status line, headers and body of an HTTP response, its chunks joined."""
     m = _HEAD_END.search(block)
     if not block.startswith(b"HTTP/") or not m:
         raise ValueError("not an HTTP response")
     status, headers = _headers(block[: m.start()])
-    body = block[m.end() :]
-    return status, headers, body
+    return status, headers, block[m.end() :]
+
+
+def _joined(headers: list[tuple[str, str]], body: bytes) -> bytes:
+    """The body without its chunks' sizes; as it stands if it has none."""
+    if "chunked" not in _get(headers, "Transfer-Encoding").lower():
+        return body
+    out, at = [], 0
+    while (end := body.find(b"\r\n", at)) >= 0:
+        size = body[at:end].split(b";")[0].strip()
+        if not re.fullmatch(rb"[0-9a-fA-F]+", size):
+            return body
+        if int(size, 16) == 0:
+            break
+        out.append(body[end + 2 : end + 2 + int(size, 16)])
+        at = end + 4 + int(size, 16)
+    return b"".join(out)
 
 
 def _decoded(headers: list[tuple[str, str]], body: bytes) -> bytes:
-    if "chunked" in _get(headers, "Transfer-Encoding").lower():
-        out, at = [], 0
-        while (end := body.find(b"\r\n", at)) >= 0:
-            size = body[at:end].split(b";")[0].strip()
-            if not re.fullmatch(rb"[0-9a-fA-F]+", size) or int(size, 16) == 0:
-                break
-            out.append(body[end + 2 : end + 2 + int(size, 16)])
-            at = end + 4 + int(size, 16)
-        body = b"".join(out) if out else body
-    if "gzip" in _get(headers, "Content-Encoding").lower() and body[:2] == b"\x1f\x8b":
-        body = zlib.decompressobj(31).decompress(body)
+    """The body with its content codings undone; ValueError for one that cannot be."""
+    for coding in reversed([c.strip().lower() for c in _get(headers, "Content-Encoding").split(",")]):
+        try:
+            if coding in ("gzip", "x-gzip") and body[:2] == b"\x1f\x8b":
+                body = zlib.decompressobj(31).decompress(body)
+            elif coding == "deflate" and body:
+                try:
+                    body = zlib.decompressobj().decompress(body)
+                except zlib.error:  # some servers leave out the zlib header
+                    d = zlib.decompressobj(-15)
+                    body = d.decompress(body)
+                    if not d.eof:
+                        raise
+            elif coding == "zstd" and body:
+                body = zstandard.ZstdDecompressor().decompressobj().decompress(body)
+            elif coding not in ("", "identity", "gzip", "x-gzip", "deflate", "zstd"):
+                raise ValueError(f"the content coding {coding} is not known")
+        except (zlib.error, zstandard.ZstdError) as e:
+            raise ValueError(f"the content coding {coding} is broken: {e}") from e
     return body
 
 
@@ -139,15 +224,30 @@ def _text(content_type: str, body: bytes) -> str:
     found = named[1] if named else (m[1].decode("ascii", "replace") if (m := _META_CHARSET.search(body[:4096])) else "utf-8")
     try:
         return body.decode(found, "replace")
-    except LookupError:
+    except (LookupError, ValueError):
         return body.decode("utf-8", "replace")
 
 
-def visible_text(source: str) -> str:
-    """The text that a page shows, a line per block."""
-    text = _TAG.sub("", _BREAK.sub("\n", _HIDDEN.sub(" ", source.replace("\n", " "))))
-    lines = (" ".join(html.unescape(x).split()) for x in text.split("\n"))
-    return "\n".join(x for x in lines if x)
+def read_page(source: str) -> tuple[str, str, list[dict[str, str]], str]:
+    """Title, language, links and the visible text of a page, a line per block."""
+    title, language, links, parts = None, "", [], []
+    for kind, tag, value in tokens(source):
+        if kind == "text":
+            parts.append(value.replace("\n", " "))
+        elif kind == "raw":
+            if tag == "title" and title is None:
+                title = value
+        else:
+            if tag in BREAKS:
+                parts.append("\n")
+            if kind == "open" and (tag in LINKS or (tag == "html" and not language)):
+                have = attributes(value)
+                if tag == "html":
+                    language = have.get("lang", "")
+                elif LINKS[tag] in have:
+                    links.append({"tag": tag, "url": have[LINKS[tag]].strip()})
+    lines = (" ".join(html.unescape(x).split()) for x in "".join(parts).split("\n"))
+    return " ".join(html.unescape(title or "").split()), language, links, "\n".join(x for x in lines if x)
 
 
 def derive(record: bytes | None) -> list[tuple[str, str, str, list[tuple[str, str]], bytes]]:
@@ -166,25 +266,29 @@ def derive(record: bytes | None) -> list[tuple[str, str, str, list[tuple[str, st
         status, http, body = _payload(block)
     except ValueError as e:
         status, http, body, error = "", [], block, str(e)
-    stated, found = _get(headers, "WARC-Payload-Digest"), digest(body)
+    whole = _joined(http, body)
+    stated, found = _get(headers, "WARC-Payload-Digest"), digest(whole)
+    # a payload is what the chunks hold; some crawlers take the digest of the chunks themselves
+    same = agrees(stated, whole) or (agrees(stated, body) if whole != body else agrees(stated, whole))
+    plain: bytes | None = None
     try:
-        plain = _decoded(http, body)
-    except zlib.error as e:
-        plain, error = b"", str(e)
+        plain = _decoded(http, whole)
+    except ValueError as e:
+        error = error or str(e)
     kind = _get(http, "Content-Type").split(";")[0].strip().lower()
     is_html, is_text = kind in ("text/html", "application/xhtml+xml"), kind == "text/plain"
-    text = _text(_get(http, "Content-Type"), plain) if is_html or is_text else ""
-    about = {"Envelope": {"WARC-Headers": headers, "Payload": {"HTTP-Status": status, "HTTP-Headers": http, "Length": len(body), "Digest": found, "Digest-Agrees": stated in ("", found)}}}
-    if is_html:
-        title = _TITLE.search(text)
-        lang = _LANG.search(text[:2048])
-        links = [{"tag": m[1].lower(), "url": html.unescape(m[2].strip("\"'"))} for m in _LINK.finditer(text)]
-        about["HTML"] = {"Title": re.sub(r"\s+", " ", html.unescape(title[1])).strip() if title else "", "Language": lang[1] if lang else "", "Links": links}
+    readable = (is_html or is_text) and plain is not None
+    text = _text(_get(http, "Content-Type"), plain) if readable else ""
+    about = {"Envelope": {"WARC-Headers": headers, "Payload": {"HTTP-Status": status, "HTTP-Headers": http, "Length": len(whole), "Digest": found, "Digest-Agrees": same}}}
+    shown = text
+    if is_html and readable:
+        title, language, links, shown = read_page(text)
+        about["HTML"] = {"Title": title, "Language": language, "Links": links}
     if error:
         about["Error"] = error
     blocks = [("metadata", "application/json", json.dumps(about, ensure_ascii=False).encode("utf-8", "surrogatepass"))]
-    if is_html or is_text:
-        blocks.append(("conversion", "text/plain; charset=utf-8", (visible_text(text) if is_html else text).encode("utf-8", "surrogatepass")))
+    if readable:
+        blocks.append(("conversion", "text/plain; charset=utf-8", shown.encode("utf-8", "surrogatepass")))
     ids = [derived_id(source, t) for t, _, _ in blocks]
     out = []
     for n, (t, content_type, data) in enumerate(blocks):
@@ -222,15 +326,31 @@ def build(records: DataFrame, id_col: str = "id", record_col: str = "record") ->
             for i, record in zip(batch["id"].to_pylist(), batch["record"].to_pylist(), strict=True):
                 for t, own, source, headers, block in derive(record):
                     have = [_get(headers, k) or None for k in ("WARC-Target-URI", "WARC-Date", "WARC-Payload-Digest", "WARC-Block-Digest", "Content-Type")]
-                    out.append((i, t, own, source or None, *have, len(block), [{"name": k, "value": v} for k, v in headers], block.decode("utf-8", "replace")))
+                    out.append((i, t, own, source or None, *have, len(block), [{"name": k, "value": v} for k, v in headers], block))
             if out:
-                kinds = [pa.int64(), *[pa.string()] * 8, pa.int64(), pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())])), pa.string()]
+                kinds = [pa.int64(), *[pa.string()] * 8, pa.int64(), pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())])), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
-    schema = "id long, warc_type string, record_id string, refers_to string, target_uri string, warc_date string, payload_digest string, block_digest string, content_type string, n_bytes long, headers array<struct<name: string, value: string>>, block string"
+    schema = "id long, warc_type string, record_id string, refers_to string, target_uri string, warc_date string, payload_digest string, block_digest string, content_type string, n_bytes long, headers array<struct<name: string, value: string>>, block binary"
     return records.select(F.col(id_col).cast("long").alias("id"), F.col(record_col).cast("binary").alias("record")).mapInArrow(rows, schema)
 
 
-def record_bytes(headers: list, block: str) -> bytes:
+def record_bytes(headers: list, block: bytes) -> bytes:
     """The bytes of a row of ``build``, to be written into a WARC file."""
-    return write_record([(h["name"], h["value"]) for h in headers], block.encode("utf-8", "surrogatepass"))
+    return write_record([(h["name"], h["value"]) for h in headers], bytes(block))
+
+
+def read_files(spark: SparkSession, path: str) -> DataFrame:
+    """The records (id, path, number, record) of the WARC files under a path or glob; each file is streamed by one task."""
+    files = spark.read.format("binaryFile").load(path).select("path")
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name in batch["path"].to_pylist():
+                store, inside = open_fs(name)
+                with store.open_input_stream(inside, compression=None) as file:
+                    for n, record in enumerate(read_stream(file)):
+                        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n], pa.int64()), pa.array([record], pa.binary())], ["path", "number", "record"])
+
+    found = files.repartition(max(1, files.count())).mapInArrow(rows, "path string, number long, record binary")
+    return found.select(F.xxhash64("path", "number").alias("id"), "path", "number", "record")

@@ -553,10 +553,10 @@ def test_warc_derivatives(spark):
         headers, block = sources[r["id"]]
         assert r["refers_to"] == dict(headers)["WARC-Record-ID"] and r["payload_digest"] == dict(headers)["WARC-Payload-Digest"]
         own, data = warc.read_record(warc.record_bytes(r["headers"], r["block"]))
-        assert data.decode() == r["block"] and warc.digest(data) == r["block_digest"] and dict(own)["WARC-Record-ID"] == r["record_id"]
+        assert data == bytes(r["block"]) and warc.digest(data) == r["block_digest"] and dict(own)["WARC-Record-ID"] == r["record_id"]
         partner = next(x for x in rows if x["id"] == r["id"] and x["warc_type"] != r["warc_type"])
         assert dict(own)["WARC-Concurrent-To"] == partner["record_id"]
-    one = {r["warc_type"]: r["block"] for r in rows if r["id"] == 1}
+    one = {r["warc_type"]: bytes(r["block"]).decode() for r in rows if r["id"] == 1}
     assert one["conversion"] == "One\ntwo" and '"Title": "T & u"' in one["metadata"] and '"/b"' in one["metadata"]
     import gzip
 
@@ -566,5 +566,53 @@ def test_warc_derivatives(spark):
     assert list(warc.read_records(gzip.compress(response) + gzip.compress(request))) == [response[:-4], request[:-4]]
     odd = spark.createDataFrame([(1, None), (2, b"junk"), (3, response[:40])], "id long, record binary")
     got = warc.build(odd).collect()
-    assert len(got) == 3 and all(r["warc_type"] == "metadata" and "error" in r["block"] and r["refers_to"] is None for r in got)
+    assert len(got) == 3 and all(r["warc_type"] == "metadata" and b"error" in bytes(r["block"]) and r["refers_to"] is None for r in got)
     assert warc.build(odd.limit(0)).count() == 0
+
+
+def test_warc_pages_and_codings():
+    import gzip
+    import json
+
+    def made(body, *http, payload=""):
+        block = "".join(f"{x}\r\n" for x in ["HTTP/1.1 200 OK", "Content-Type: text/html", *http]).encode() + b"\r\n" + body
+        out = warc.derive(warc.write_record([("WARC-Type", "response"), ("WARC-Record-ID", "<urn:y>"), ("WARC-Payload-Digest", payload)], block))
+        return [x[0] for x in out], json.loads(out[0][4]), out[-1][4].decode()
+
+    page = b"""<p title="a > b">x</p><head-line>y</head-line> z<!-- <a href=no> --><script src='s.js'>"<a href=no>"</script><a href = "/b&amp;c">w</a>"""
+    kinds, about, text = made(page)
+    assert kinds == ["metadata", "conversion"] and text == "x\ny zw" and [x["url"] for x in about["HTML"]["Links"]] == ["s.js", "/b&c"]
+    packed = zlib.compress(page)
+    for coding, body in (("gzip", gzip.compress(page)), ("deflate", packed), ("deflate", packed[2:-4]), ("gzip, deflate", zlib.compress(gzip.compress(page)))):
+        kinds, about, text = made(body, f"Content-Encoding: {coding}", payload=warc.digest(body))
+        assert text == "x\ny zw" and about["Envelope"]["Payload"]["Digest-Agrees"]
+    kinds, about, _ = made(b"\x1b\x00", "Content-Encoding: br")
+    assert kinds == ["metadata"] and "br" in about["Error"] and about["Envelope"]["Payload"]["Digest-Agrees"] is None
+    kinds, about, _ = made(b"junk", "Content-Encoding: deflate")
+    assert kinds == ["metadata"] and "deflate" in about["Error"]
+    chunked = b"4\r\n<p>a\r\n1;x=y\r\nb\r\n0\r\n\r\n"
+    for stated, same in ((warc.digest(b"<p>ab"), True), (warc.digest(chunked), True), (warc.digest(b"no"), False), ("", None), ("sha256:" + __import__("hashlib").sha256(b"<p>ab").hexdigest(), True)):
+        kinds, about, text = made(chunked, "Transfer-Encoding: chunked", payload=stated)
+        assert text == "ab" and about["Envelope"]["Payload"]["Digest-Agrees"] is same
+
+
+def test_warc_files_and_odd_rows(spark, tmp_path):
+    import gzip
+
+    pages = spark.createDataFrame([(1, "u", "<p>a" * 30000), (1, "u", "<p>a" * 30000), (2, None, "<a " * 16000)], "page_id long, url string, html string").withColumn("record", F.lit(b"x")).withColumn("id", F.lit("y"))
+    records = [bytes(r["record"]) for r in warc.responses(pages).orderBy("id").collect()]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(map(gzip.compress, records)))
+    (tmp_path / "b.warc").write_bytes(b"".join(records) + b"\r\n")
+    (tmp_path / "c.warc.gz").write_bytes(gzip.compress(b"".join(records)))
+    (tmp_path / "d.warc.gz").write_bytes(gzip.compress(records[0])[:40])
+    (tmp_path / "e.warc").write_bytes(b"")
+    got = warc.read_files(spark, f"{tmp_path}/*").withColumn("headers", F.lit(1))
+    by = {}
+    for r in got.collect():
+        by.setdefault(r["path"][-9:].split("/")[-1], []).append(bytes(r["record"]).rstrip(b"\r\n"))
+    want = [r.rstrip(b"\r\n") for r in records]
+    assert by["a.warc.gz"] == by["b.warc"] == by["c.warc.gz"] == want and "e.warc" not in by
+    built = warc.build(got.where("path not like '%d.warc.gz'")).collect()
+    assert len(built) == 18 and len({(r["record_id"], bytes(r["block"])) for r in built}) == 4
+    long = next(r for r in built if r["warc_type"] == "conversion" and r["target_uri"] == "u")
+    assert bytes(long["block"]) == b"\n".join([b"a"] * 30000)
