@@ -533,6 +533,33 @@ def test_raking_meets_all_marginals(spark, local, monkeypatch):
         assert abs(rate[r.source, r.lang, r.topic] - r.rate) < 1e-3
 
 
+@pytest.mark.parametrize("local", [1 << 16, 0])
+def test_bounded_raking(spark, local, monkeypatch):
+    monkeypatch.setattr(mixing, "LOCAL_CELLS", local)
+    rng = random.Random(16)
+    rows = [(i, "word " * rng.randint(1, 30), rng.choice("aaab"), rng.choice(["en", "en", "de"]), rng.choice("xyz")) for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, topic string")
+    # nearly all of b is wanted, so that its cells stand at 1 while the marginals of the rest still hold
+    targets = {"source": spark.createDataFrame([("a", 0.6), ("b", 0.4)], "source string, target double"), "lang": spark.createDataFrame([("en", 0.6), ("de", 0.4)], "lang string, target double")}
+    got = mixing.sample(docs, targets, 0.6, topic_col="topic").toPandas()
+    spent = got.tokens * got.rate
+    assert got.rate.max() == 1 and abs(spent.sum() / got.tokens.sum() - 0.6) < 1e-3
+    assert abs(spent[got.lang == "de"].sum() / spent.sum() - 0.4) < 2e-3
+    own = got.groupby("topic").tokens.sum() / got.tokens.sum()
+    for t in "xyz":
+        assert abs(spent[got.topic == t].sum() / spent.sum() - own[t]) < 2e-3
+
+
+def test_mixing_says_what_cannot_be_met(spark):
+    rows = [(i, "word " * 10, "a" if i % 10 else None, "en", "x") for i in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, topic string")
+    targets = {"source": spark.createDataFrame([(None, 0.5), ("a", 0.5)], "source string, target double")}
+    with pytest.warns(UserWarning, match="source None: 500 of 1250 wanted, 500 there are"):
+        got = mixing.sample(docs, targets, 0.5, topic_col="topic").toPandas()
+    spent = got.tokens * got.rate
+    assert got.rate[got.source.isna()].min() == 1 and abs(spent.sum() / got.tokens.sum() - 0.5) < 1e-6
+
+
 def test_mix_rows(spark):
     docs = documents(spark, ODD + [(i, "some words here") for i in range(100, 400)])
     kept = mixing.mix(docs)
