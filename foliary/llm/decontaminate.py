@@ -13,10 +13,12 @@ divided by the item's own score, so one threshold serves all. Retrieval is block
 Both tests are bounds, so nothing above the threshold is lost. A retrieved item counts as a leak if, around the passage,
 the document holds at least OVERLAP of the n-grams of its question and of its answer, or at least WHOLE of those of both
 together, since an answer of a word or two may have been changed. Every retrieved pair of passage and item is verified,
-the best first, until one holds. Words are compared in lower case without punctuation.
+the best first, until one holds. Words are compared in lower case without punctuation; in scripts without spaces, every
+character is a word.
 
 The index is built from shards of the items of bounded size, each broadcast in turn, so a large benchmark costs more
-passes rather than more memory; document frequencies are those of the shard.
+passes rather than more memory. Document frequencies and the mean length are those of all items, so scores and what is
+retrieved do not depend on the shards.
 
 Defined cases: null or empty texts and items hold no words and match nothing; an item without an answer is judged by its
 question alone, one without a question by its answer; items of the same text are each reported; a row per document row and item, with the
@@ -33,6 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foliary.llm.scratch import save
 from foliary.llm.textkernel import batches_by_chars, folded_words, ngram_hashes
 
 STRIDE = 64
@@ -66,19 +69,25 @@ def _grams(words: np.ndarray) -> np.ndarray:
     return np.unique(ngram_hashes(words, min(GRAM, len(words)))) if len(words) else words
 
 
+def _parts(words: np.ndarray) -> list[np.ndarray]:
+    """An item's words in even parts of at most PART."""
+    return np.array_split(words, -(-len(words) // PART)) if len(words) else []
+
+
 class ItemIndex:
-    """Postings of the items' parts, sorted by part, in blocks of BLOCK parts with their greatest weight."""
+    """Postings of the items' parts, sorted by part, in blocks of BLOCK parts with their greatest weight.
+
+    ``corpus`` has the number of parts, their mean length and the frequency of each term if these items are only a shard of all.
+    """
 
-    def __init__(self, items: list[tuple[int | None, str, str]]):
+    def __init__(self, items: list[tuple[int | None, str, str]], corpus: tuple[int, float, dict[int, int]] | None = None):
         self.ids = [i for i, _, _ in items]
         words = folded_words([q for _, q, _ in items] + [a for _, _, a in items])
         of = [words.hash[a:b] for a, b in zip(words.range[:-1], words.range[1:], strict=True)]
         self.questions, self.answers = of[: len(items)], of[len(items) :]
         parts, self.item_of = [], []
         for n, (q, a) in enumerate(zip(self.questions, self.answers, strict=True)):
-            whole = np.concatenate((q, a))
-            cuts = max(1, -(-len(whole) // PART))
-            for piece in np.array_split(whole, cuts) if len(whole) else []:
+            for piece in _parts(np.concatenate((q, a))):
                 parts.append(piece)
                 self.item_of.append(n)
         self.item_of = np.array(self.item_of, dtype=np.int64)
@@ -88,8 +97,10 @@ class ItemIndex:
         self.post_term, self.post_part = np.divmod(key, max(1, len(parts)))
         n, lengths = len(parts), np.array([len(p) for p in parts], dtype=float)
         df = np.bincount(self.post_term, minlength=len(self.vocabulary))
-        idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        weight = idf[self.post_term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[self.post_part] / (lengths.mean() if n else 1)))
+        total, mean, seen = corpus or (n, lengths.mean() if n else 1.0, None)
+        often = df if seen is None else np.array([seen[t] for t in self.vocabulary.tolist()], dtype=np.int64)
+        idf = np.log1p((total - often + 0.5) / (often + 0.5))
+        weight = idf[self.post_term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[self.post_part] / mean))
         self.weight = weight / np.bincount(self.post_part, weight, n)[self.post_part]
         self.ptr = np.searchsorted(self.post_term, np.arange(len(self.vocabulary) + 1))
         block = self.post_term * (n // BLOCK + 1) + self.post_part // BLOCK
@@ -223,26 +234,81 @@ def _search(docs: DataFrame, index: ItemIndex) -> DataFrame:
     return docs.mapInArrow(rows, "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, first_word long")
 
 
+def _both(item: tuple[str | None, str | None], one_text: bool) -> tuple[str, str]:
+    return split_item(item[0]) if one_text else (item[0] or "", item[1] or "")
+
+
+def _statistics(bench: DataFrame, one_text: bool) -> tuple[int, float, DataFrame]:
+    """Number and mean length of all items' parts, and (term, df) of their terms."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts: dict[int, int] = {}
+            n = words = 0
+            for item in zip(batch["q"].to_pylist(), batch["a"].to_pylist(), strict=True):
+                both = folded_words(list(_both(item, one_text)))
+                for part in _parts(both.hash):
+                    n, words = n + 1, words + len(part)
+                    for term in np.unique(part).astype(np.int64).tolist():
+                        counts[term] = counts.get(term, 0) + 1
+            yield pa.RecordBatch.from_arrays([pa.array([None, *counts], pa.int64()), pa.array([n, *counts.values()], pa.int64()), pa.array([words, *[0] * len(counts)], pa.int64())], ["term", "df", "words"])
+
+    made = save(bench.select("q", "a").mapInArrow(rows, "term long, df long, words long").groupBy("term").agg(F.sum("df").alias("df"), F.sum("words").alias("words")), "item-terms")
+    all_ = made.where("term is null").first()
+    parts, words = (all_["df"] or 0, all_["words"] or 0) if all_ else (0, 0)
+    return parts, words / parts if parts else 1.0, made.where("term is not null").select("term", "df")
+
+
+def _indexes(items: DataFrame, item_col: str, item_text_col: str | None, question_col: str, answer_col: str) -> Iterator[ItemIndex]:
+    """Indexes of shards of the items, each of SHARD_CHARS characters or so."""
+    one_text = item_text_col is not None
+    parts = [F.col(item_text_col).cast("string").alias("q"), F.lit(None).cast("string").alias("a")] if one_text else [F.col(question_col).cast("string").alias("q"), F.col(answer_col).cast("string").alias("a")]
+    bench = items.select(F.col(item_col).cast("long").alias("item"), *parts)
+    size = bench.agg(F.sum(F.coalesce(F.length("q"), F.lit(0)) + F.coalesce(F.length("a"), F.lit(0)))).first()[0] or 0
+    shards = size // SHARD_CHARS + 1
+    stats = _statistics(bench, one_text) if shards > 1 else None
+    for k in range(shards):
+        shard = bench.where(F.pmod(F.xxhash64("item", "q", "a"), F.lit(shards)) == k).orderBy("item", "q", "a").collect()
+        made = [(r["item"], *_both((r["q"], r["a"]), one_text)) for r in shard]
+        corpus = None
+        if stats:
+            words = folded_words([x for _, q, a in made for x in (q, a)])
+            own = items.sparkSession.createDataFrame([(t,) for t in np.unique(words.hash).astype(np.int64).tolist()], "term long")
+            corpus = stats[0], stats[1], {r["term"] & 0xFFFFFFFFFFFFFFFF: r["df"] for r in stats[2].join(own, "term").collect()}
+        yield ItemIndex(made, corpus)
+
+
 def find(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str | None = "text", question_col: str = "question", answer_col: str = "answer") -> DataFrame:
     """doc_id, item_id, score, question_overlap, answer_overlap, first_word of every leak.
 
     Items come as questions and answers or, with ``item_text_col``, as one text that ``split_item`` parts.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    parts = [F.col(item_text_col).cast("string").alias("q"), F.lit(None).cast("string").alias("a")] if item_text_col else [F.col(question_col).cast("string").alias("q"), F.col(answer_col).cast("string").alias("a")]
-    bench = items.select(F.col(item_col).cast("long").alias("item"), *parts)
-    size = bench.agg(F.sum(F.coalesce(F.length("q"), F.lit(0)) + F.coalesce(F.length("a"), F.lit(0)))).first()[0] or 0
-    shards = size // SHARD_CHARS + 1
     out = None
-    for k in range(shards):
-        shard = bench.where(F.pmod(F.xxhash64("item", "q", "a"), F.lit(shards)) == k).orderBy("item", "q", "a").collect()
-        index = ItemIndex([(r["item"], *(split_item(r["q"]) if item_text_col else (r["q"] or "", r["a"] or ""))) for r in shard])
+    for index in _indexes(items, item_col, item_text_col, question_col, answer_col):
         found = _search(texts, index)
         out = found if out is None else out.unionByName(found)
     return out
 
 
-def remove(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **columns: str) -> DataFrame:
-    """The documents without those that hold a leak; rows of a null id stay."""
-    leaked = find(docs, items, id_col=id_col, **columns).select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(leaked, id_col, "left_anti")
+def remove(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str | None = "text", question_col: str = "question", answer_col: str = "answer") -> DataFrame:
+    """The rows without a leak: a row is judged by its own text, also if its id is null or not its alone."""
+    for index in _indexes(items, item_col, item_text_col, question_col, answer_col):
+        docs = _without(docs, index, text_col)
+    return docs
+
+
+def _without(docs: DataFrame, index: ItemIndex, text_col: str) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(index)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = shared.value
+        for batch in batches:
+            texts, clean = batch[text_col].to_pylist(), []
+            for some in batches_by_chars(texts, BATCH_CHARS):
+                words = folded_words(texts[some])
+                terms = index.terms(words.hash)
+                clean += [next(index.leaks(words.hash[a:b], terms[a:b]), None) is None for a, b in zip(words.range[:-1].tolist(), words.range[1:].tolist(), strict=True)]
+            yield batch.filter(pa.array(clean, pa.bool_()))
+
+    return docs.mapInArrow(rows, docs.schema)

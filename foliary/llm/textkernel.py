@@ -6,6 +6,7 @@ slice in constant time, so that words, lines, segments and shingles are hashed w
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -126,20 +127,49 @@ def batches_by_chars(texts: list, most: int) -> Iterator[slice]:
         yield slice(start, len(texts))
 
 
-_KNOWN = 0x3000
-_FOLD = np.array([ord(chr(c).lower()) if len(chr(c).lower()) == 1 else c for c in range(_KNOWN)], dtype=np.uint32)
-_ALNUM = np.array([chr(c).isalnum() for c in range(_KNOWN)])
+#: Scripts that are written without spaces between words: every character of theirs is a word. First and last code points.
+UNSPACED = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x2E80, 0x2FDF), (0x3005, 0x3007), (0x3021, 0x3029), (0x3040, 0x30FF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x1B000, 0x1B16F), (0x20000, 0x323AF))
+_SMALL = 0x0E00
+_letters: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+
+
+def _letter_table(points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By code point: its lower case, whether it is a letter, digit or mark, and whether it is a word by itself."""
+    size = _SMALL if not len(points) or int(points.max()) < _SMALL else 0x110000
+    if size not in _letters:
+        fold = np.arange(size, dtype=np.uint32)
+        word, alone = np.zeros(size, dtype=bool), np.zeros(size, dtype=bool)
+        for c in range(size):
+            sign = chr(c)
+            if unicodedata.category(sign)[0] in "LNM":
+                word[c] = True
+                low = sign.lower()
+                if low != sign and len(low) == 1:
+                    fold[c] = ord(low)
+        for a, b in UNSPACED:
+            alone[a : min(b + 1, size)] = word[a : min(b + 1, size)]
+        _letters[size] = fold, word, alone
+    return _letters[size]
 
 
 def folded_words(texts: list[str | None]) -> Words:
-    """Words for matching: runs of letters and digits in lower case, whatever stands around them."""
+    """Words for matching: runs of letters, digits and marks in lower case, whatever stands around them; single characters of UNSPACED scripts."""
     points, offsets = codepoints(texts)
-    known = np.minimum(points, _KNOWN - 1)
-    far = points >= _KNOWN
+    fold, word, alone = _letter_table(points)
     words = Words.__new__(Words)
-    words.blank = ~(_ALNUM[known] | far)
-    words.start, words.end = runs(~words.blank, offsets)
-    words.slices = Slices(np.where(far, points, _FOLD[known]))
+    inside, single = word[points], alone[points]
+    words.blank = ~inside
+    if single.any():
+        border = np.zeros(len(points) + 1, dtype=bool)
+        border[offsets] = True
+        border[:-1] |= single  # a single one begins a word, and so does what follows it
+        border[1:] |= single
+        before, after = np.concatenate(([False], inside[:-1])), np.concatenate((inside[1:], [False]))
+        words.start = np.flatnonzero(inside & (~before | border[:-1]))
+        words.end = np.flatnonzero(inside & (~after | border[1:])) + 1
+    else:
+        words.start, words.end = runs(inside, offsets)
+    words.slices = Slices(fold[points])
     words.hash = words.slices.hash(words.start, words.end)
     words.range = np.searchsorted(words.start, offsets)
     return words

@@ -1,13 +1,13 @@
 """Toxicity by compression distance: windows of a text under an ordinary and a toxic zstandard dictionary.
 
 Training, on a bounded sample of labelled rows, whose whole texts are read on the executors; the driver gets counts,
-spans, pieces for the ordinary dictionary and the features of each row. The ordinary dictionary is trained by zstandard on ordinary texts. The
-toxic one is trained on toxic texts in the manner of the same cover algorithm, but a character sequence counts by how
-much more often toxic texts hold it than ordinary ones do: the spans of such sequences that cover most of this surplus
-are taken until none is left. The toxic dictionary is these spans before the ordinary one, so that ordinary matter
-costs the same under both, and a window's gain, the bytes that the toxic dictionary saves, is nearly always 0 in
-ordinary text. Spans that gain in ordinary training texts too are dropped. A logistic model on the gains of a document's
-windows is fitted last; its threshold is 0.5.
+spans, pieces for the ordinary dictionary and the features of each row. Both dictionaries are trained by zstandard: the
+ordinary one on pieces of ordinary texts, the toxic one on the stretches of toxic texts that are toxic rather than
+ordinary matter, each as often as texts hold it. Such a stretch is covered by character sequences that toxic texts hold
+LIFT times as often as ordinary ones. Under the toxic label a window is compressed with the toxic dictionary before the
+ordinary one, so that ordinary matter costs the same under both, and a window's gain, the bytes that the toxic dictionary
+saves, is nearly always 0 in ordinary text. Stretches that gain in ordinary training texts too are dropped, and the
+dictionary is trained anew. A logistic model on the gains of a document's windows is fitted last; its threshold is 0.5.
 
 Every whole text is scored, in windows of WINDOW words that do not overlap. Labels, languages, sources and ids are no
 inputs of a score.
@@ -20,11 +20,10 @@ per label counts; further columns are ignored.
 
 from __future__ import annotations
 
-import heapq
 import math
 import zlib
 from collections import Counter
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,12 +34,14 @@ from pyspark.sql import functions as F
 from foliary.llm import scratch
 
 WINDOW = 4
-#: Length of the character sequences that are counted, in bytes.
-SEQUENCE = 5
+#: Lengths of the character sequences that are counted, in bytes; the least is what the compressor matches.
+SEQUENCES = (5, 6, 7, 8)
 #: How many times more often toxic texts must hold a sequence, and the share of toxic texts that must.
-LIFT = 16
-LEAST_SHARE = 0.004
+LIFT = 5
+LEAST_SHARE = 0.02
 TOXIC_BYTES = 16 << 10
+#: Stretches that stand in one training sample of the toxic dictionary, and how often one stretch counts at most.
+JOINED, REPEATED = 20, 500
 ORDINARY_BYTES = 60 << 10
 #: Bound of the training sample: rows of each label.
 SAMPLE_ROWS = 4000
@@ -64,52 +65,49 @@ def windows(text: str | None, size: int = WINDOW) -> list[bytes]:
 
 def _stretches(word: bytes) -> Iterator[bytes]:
     """The word between spaces, in stretches that together hold each of its sequences."""
-    x, size = b" " + word + b" ", WORD_BYTES + 2
-    for i in range(0, max(1, len(x) - SEQUENCE + 1), size - SEQUENCE + 1):
+    x, size, longest = b" " + word + b" ", WORD_BYTES + 2, max(SEQUENCES)
+    for i in range(0, max(1, len(x) - longest + 1), size - longest + 1):
         yield x[i : i + size]
 
 
+def _all_stretches(text: str) -> set[bytes]:
+    return {x for w in set(words_of(text)) for x in _stretches(w)}
+
+
 def _sequences(text: str) -> set[bytes]:
-    return {x[i : i + SEQUENCE] for w in set(words_of(text)) for x in _stretches(w) for i in range(len(x) - SEQUENCE + 1)}
+    return {x[i : i + n] for x in _all_stretches(text) for n in SEQUENCES for i in range(len(x) - n + 1)}
 
 
-def _spans(text: str, surplus: Iterable[bytes]) -> set[bytes]:
-    """The longest spans of the text's words whose sequences all have a surplus."""
+def _spans(text: str, surplus: frozenset[bytes]) -> set[bytes]:
+    """The longest spans of the text's words that sequences with a surplus cover."""
     spans: set[bytes] = set()
-    for x in {x for w in set(words_of(text)) for x in _stretches(w)}:
-        start = None
-        for i in range(len(x) - SEQUENCE + 2):
-            if i <= len(x) - SEQUENCE and x[i : i + SEQUENCE] in surplus:
-                start = i if start is None else start
-            elif start is not None:
-                spans.add(x[start : i - 1 + SEQUENCE])
-                start = None
+    for x in _all_stretches(text):
+        start, end = 0, -1
+        for i in range(len(x)):
+            long = max((n for n in SEQUENCES if i + n <= len(x) and x[i : i + n] in surplus), default=0)
+            if not long:
+                continue
+            if i > end:
+                if end > 0:
+                    spans.add(x[start:end])
+                start = i
+            end = max(end, i + long)
+        if end > 0:
+            spans.add(x[start:end])
     return spans
 
 
-def cover(spans: set[bytes], surplus: dict[bytes, float]) -> list[bytes]:
-    """The spans that cover the surplus of their sequences, the greatest surplus first."""
-    surplus = dict(surplus)
-
-    def worth(x: bytes) -> float:
-        return sum(surplus.get(x[i : i + SEQUENCE], 0.0) for i in range(len(x) - SEQUENCE + 1))
+def toxic_dictionary(spans: dict[bytes, int]) -> bytes:
+    """The dictionary that zstandard trains on the spans, each as often as it counts."""
+    import zstandard as zs
 
-    heap = [(-worth(x), x) for x in spans]
-    heapq.heapify(heap)
-    taken, size = [], 0
-    while heap and size < TOXIC_BYTES:
-        _, x = heapq.heappop(heap)
-        now = worth(x)
-        if now <= 0:
-            continue
-        if heap and -now > heap[0][0]:
-            heapq.heappush(heap, (-now, x))
-            continue
-        taken.append(x)
-        size += len(x) + 1
-        for i in range(len(x) - SEQUENCE + 1):
-            surplus.pop(x[i : i + SEQUENCE], None)
-    return taken
+    # mixed, so that a sample holds different spans
+    samples = [x for _, x in sorted((zlib.crc32(x + b"%d" % k), x) for x, n in spans.items() for k in range(min(n, REPEATED)))]
+    joined = [b"\n".join(samples[i : i + JOINED]) for i in range(0, len(samples), JOINED)]
+    try:
+        return zs.train_dictionary(TOXIC_BYTES, joined, k=24, d=6, steps=1, level=3).as_bytes()
+    except zs.ZstdError:  # too little to train on: the matter itself is the dictionary
+        return b"\n".join(sorted(spans, key=lambda x: (spans[x], x)))[-TOXIC_BYTES:]
 
 
 class Gains:
@@ -130,10 +128,10 @@ class Gains:
 
 
 def features(gains: list[int]) -> list[float]:
-    """The two greatest gains, the sum of those of 2 bytes or more, and their rate among the windows."""
+    """The two greatest gains, the sum of those of 2 bytes or more, their rate among the windows, the number of windows, the sum's rate."""
     top = sorted(gains, reverse=True)[:2] + [0, 0]
     some = [g for g in gains if g >= 2]
-    return [min(top[0], 12), min(max(top[1], 0), 12), math.log1p(sum(some)), 10 * len(some) / (len(gains) + 10), math.log1p(len(gains)) / 4]
+    return [min(top[0], 12), min(max(top[1], 0), 12), math.log1p(sum(some)), 10 * len(some) / (len(gains) + 10), math.log1p(len(gains)) / 4, sum(some) / (len(gains) + 10)]
 
 
 @dataclass
@@ -214,15 +212,15 @@ def train(sample: DataFrame) -> Model:
 
     counts = _each(sample, "x binary, ordinary long, toxic long", _counts).groupBy("x").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
     gain = F.col("toxic") / F.lit(float(n_toxic)) - F.lit(float(LIFT)) * (F.col("ordinary") + 0.5) / F.lit(float(n_ordinary))
-    surplus = {bytes(r["x"]): r["gain"] for r in counts.select("x", gain.alias("gain"), "toxic").where((F.col("toxic") >= max(3, LEAST_SHARE * n_toxic)) & (F.col("gain") > 0)).orderBy("x").collect()}
+    surplus = frozenset(bytes(r["x"]) for r in counts.where((F.col("toxic") >= max(3, LEAST_SHARE * n_toxic)) & (gain > 0)).select("x").collect())
 
     def spans_of(texts):
-        found = set()
+        found: Counter = Counter()
         for _, _, t in texts:
-            found |= _spans(t, surplus)
-        yield [(x,) for x in found]
+            found.update(_spans(t, surplus))
+        yield list(found.items())
 
-    spans = cover({bytes(r["x"]) for r in _each(toxic, "x binary", spans_of).distinct().collect()}, surplus) if surplus else []
+    spans = {bytes(r["x"]): r["n"] for r in _each(toxic, "x binary, n long", spans_of).groupBy("x").agg(F.sum("n").alias("n")).orderBy("x").collect()} if surplus else {}
     if not spans:
         return unknown
 
@@ -247,38 +245,35 @@ def train(sample: DataFrame) -> Model:
 
         return Counter({r["n"]: r["texts"] for r in _each(texts, "n long, texts long", rows).groupBy("n").agg(F.sum("texts").alias("texts")).collect()})
 
+    content, least = toxic_dictionary(spans), min(SEQUENCES)
     for _ in range(2):
-        content = b"\n".join(reversed(spans))
-        where = {x[i : i + SEQUENCE]: n for n, x in enumerate(spans) for i in range(len(x) - SEQUENCE + 1)}
+        names = list(spans)
+        where: dict[bytes, set[int]] = {}
+        for n, x in enumerate(names):
+            for i in range(len(x) - least + 1):
+                where.setdefault(x[i : i + least], set()).add(n)
         kept: list[Gains] = []  # a task's own
 
-        def gaining(t: str, content: bytes = content, where: dict[bytes, int] = where, kept: list[Gains] = kept) -> set[int]:
+        def gaining(t: str, content: bytes = content, where: dict[bytes, set[int]] = where, kept: list[Gains] = kept) -> set[int]:
             if not kept:
                 kept.append(Gains(base, content))
-            return {where[s] for g, w in zip(kept[0](t), windows(t), strict=True) if g >= 2 for s in (w[i : i + SEQUENCE] for i in range(len(w) - SEQUENCE + 1)) if s in where}
+            return {n for g, w in zip(kept[0](t), windows(t), strict=True) if g >= 2 for i in range(len(w) - least + 1) for n in where.get(w[i : i + least], ())}
 
         blamed = tally(ordinary, gaining)
-        if not blamed:
-            break
-        named = {n: spans[n] for n in blamed}
-
-        def holding(t: str, named: dict[int, bytes] = named) -> set[int]:
-            text = b" " + b" ".join(words_of(t)) + b" "
-            return {n for n, x in named.items() if x in text}
-
-        wanted = tally(toxic, holding)
-        gone = {n for n, c in blamed.items() if LIFT * c / n_ordinary > wanted[n] / n_toxic}
+        gone = {names[n] for n, c in blamed.items() if LIFT * c / n_ordinary > spans[names[n]] / n_toxic}
+        # a span that shares its sequences with a commoner one is not to blame for it
+        gone = {x for x in gone if not any(x != y and x in y and y not in gone for y in names)}
         if not gone or len(gone) == len(spans):
             break
-        spans = [x for n, x in enumerate(spans) if n not in gone]
-    content = b"\n".join(reversed(spans))
+        spans = {x: n for x, n in spans.items() if x not in gone}
+        content = toxic_dictionary(spans)
 
     def features_of(texts):
         gains = Gains(base, content)
         for _, y, t in texts:
             yield [(y, *features(gains(t)))]
 
-    rows = np.array([tuple(r) for r in _each(sample, "y long, a double, b double, c double, d double, e double", features_of).orderBy("y", "a", "b", "c", "d", "e").collect()], dtype=float)
+    rows = np.array([tuple(r) for r in _each(sample, "y long, a double, b double, c double, d double, e double, f double", features_of).orderBy("y", "a", "b", "c", "d", "e", "f").collect()], dtype=float)
     return Model(base, content, _logistic(rows[:, 1:], rows[:, 0]))
 
 
@@ -315,6 +310,12 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def reject(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that are not predicted toxic; rows of a null id stay, whatever their text."""
-    toxic = score(docs, fit(docs, labels, id_col=id_col, text_col=text_col), id_col, text_col).where("predicted = 1")
-    return docs.join(toxic.select(F.col("doc_id").alias(id_col)).distinct(), id_col, "left_anti")
+    """The rows whose text is not predicted toxic: a row is judged by its own text, also if its id is null or not its alone."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, id_col=id_col, text_col=text_col))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = shared.value.scorer()
+        for batch in batches:
+            yield batch.filter(pa.array([of(t) < 0.5 for t in batch[text_col].to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(rows, docs.schema)

@@ -149,6 +149,72 @@ def test_decontaminate_rows(spark):
     assert decontaminate.find(odd, spark.createDataFrame([(1, None)], "item_id long, text string")).count() == 0
 
 
+def overlap_brute(rows, items):
+    """Leaks by plain scoring and sets of n-grams, a passage and a part at a time."""
+    word = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
+    split = [(i, *(word(x) for x in decontaminate.split_item(t))) for i, t in items]
+    parts = [(n, [w.tolist() for w in np.array_split(np.array(q + a, dtype=object), -(-len(q + a) // 64))] if q + a else []) for n, (_, q, a) in enumerate(split)]
+    flat = [(n, p) for n, some in parts for p in some]
+    df = Counter(w for _, p in flat for w in set(p))
+    mean = np.mean([len(p) for _, p in flat])
+    weigh = lambda w, p: np.log1p((len(flat) - df[w] + 0.5) / (df[w] + 0.5)) * p.count(w) * 2.2 / (p.count(w) + 1.2 * (0.25 + 0.75 * len(p) / mean))
+    weights = [{w: weigh(w, p) for w in set(p)} for _, p in flat]
+    grams = lambda x, k: {tuple(x[i : i + k]) for i in range(len(x) - k + 1)}
+    out = set()
+    for doc, text in rows:
+        w = word(text)
+        for s in range(0, max(1, -(-len(w) // 64) - 1) * 64, 64):
+            inside = set(w[s : s + 128])
+            for (n, _), own in zip(flat, weights, strict=True):
+                if sum(v for x, v in own.items() if x in inside) >= 0.6 * sum(own.values()):
+                    _, q, a = split[n]
+                    reach = max(128, len(q) + len(a))
+                    near = w[max(0, s - reach) : s + 128 + reach]
+                    share = lambda x: len(grams(x, min(3, len(x))) & grams(near, min(3, len(x)))) / len(grams(x, min(3, len(x)))) if x else 1.0  # noqa: B023, E731
+                    if min(share(q), share(a)) >= 0.6 or share(q + a) >= 0.75:
+                        out.add((doc, split[n][0]))
+    return out
+
+
+@pytest.mark.parametrize("shard", [16 << 20, 600])
+def test_decontaminate_equals_brute_force(spark, vocabulary, shard, monkeypatch):
+    monkeypatch.setattr(decontaminate, "SHARD_CHARS", shard)
+    rng = random.Random(17)
+    common = vocabulary[:15]
+    items = [(i, words(common, rng.randint(2, 12), rng) + " " + words(vocabulary, rng.randint(1, 90), rng) + "? " + words(vocabulary, rng.randint(1, 5), rng) + ".") for i in range(25)] + [(25, None), (26, ""), (27, "One sentence only")]
+    rows = []
+    for n in range(80):
+        parts = [words(vocabulary, rng.randint(0, 300), rng)]
+        for _ in range(rng.randint(0, 3)):
+            w = rng.choice(items[:25])[1].split()
+            for _ in range(rng.choice([0, 2, 8, 20])):  # quoted more and more loosely
+                w[rng.randrange(len(w))] = rng.choice(vocabulary)
+            parts += [" ".join(w).upper(), words(common, rng.randint(0, 150), rng)]
+        rows.append((n, " ".join(parts)))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = overlap_brute(rows, items)
+    got = [(r["doc_id"], r["item_id"]) for r in decontaminate.find(documents(spark, rows), bench).collect()]
+    assert len(want) > 20 and len(got) == len(set(got)) and set(got) == want
+
+
+def test_decontaminate_without_spaces(spark):
+    bench = spark.createDataFrame([(1, "下列哪一座山是世界上最高的山峰？珠穆朗玛峰。"), (2, "Какая река самая длинная в Европе? Волга.")], "item_id long, text string")
+    rows = [(1, "前面的话。下列哪一座山是世界上最高的山峰？珠穆朗玛峰。后面的话"), (2, "世界上有很多山。"), (3, "Вопрос: какая река самая длинная в европе — «Волга»!"), (4, "下列哪一座山，是世界上最高的山峰 😀 珠穆朗玛峰")]
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.find(documents(spark, rows), bench).collect()} == {(1, 1), (3, 2), (4, 1)}
+
+
+def test_filters_judge_rows_not_ids(spark):
+    leak = "What is the name of the tallest mountain in the world? Mount Everest."
+    bench = spark.createDataFrame([(1, leak)], "item_id long, text string")
+    docs = documents(spark, [(None, leak), (None, "clean"), (7, leak), (7, "also clean"), (8, None)])
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in decontaminate.remove(docs, bench).collect()) == [(0, "clean"), (7, "also clean"), (8, "")]
+    rows = [(i, " ".join(["plain words here"] * 5 + (["blorgish vexnord kwaddle"] * 2 if i % 3 == 0 else []))) for i in range(300)]
+    marked = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(300)], "doc_id long, toxic int")
+    odd = documents(spark, [*rows, (None, rows[0][1]), (None, "plain words here"), (500, rows[0][1]), (500, "plain words here")])
+    kept = toxicity.reject(odd, marked)
+    assert kept.columns == odd.columns and sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in kept.collect()) == [(False, i) for i in range(300) if i % 3] + [(False, 500), (True, 0)]
+
+
 # 2
 
 
