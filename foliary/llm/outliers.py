@@ -4,15 +4,22 @@
 centre and scatter of each group by the minimum covariance determinant (MCD), and rejects a document whose Mahalanobis
 distance from its group is over a chi-squared cutoff.
 
-The MCD is found by concentration steps over all rows: from medians and median absolute deviations, each step takes the
-share ``COVER`` of a group's rows that lie nearest, and estimates anew from them. A step is one aggregation to at most a
-few hundred distance bins a group, so that no group, however large, comes together in one task. Vectors are rounded to
-1 / GRID and summed as integers, so results do not depend on the order of rows. Estimates are also made per language and
-over all rows: a group of fewer than LEAST_ROWS judgeable rows uses its language's, or else that over all.
+The MCD is found by concentration steps over all rows from three starts: medians and median absolute deviations, the
+sign covariance around the medians, and the classical estimate. A step takes the share ``COVER`` of a group's rows that
+lie nearest, and estimates anew from them; steps go on until no determinant falls any more, and of a group's three
+results the one of the least determinant stands. A step is one aggregation to a bounded number of distance bins a group,
+and the starts come from bins of values, so that no group, however large, comes together in one task. Vectors are rounded
+to 1 / GRID and summed as integers, so results do not depend on the order of rows. A variance below a feature's least
+spread counts as that spread.
+
+A group's estimate is drawn towards that of its language, and that towards the estimate over all rows, by PRIOR
+equivalent rows and with the gap between their centres added to the scatter: there is no least size of a group, and a
+source of few rows with matter of its own kind is not rejected for it. The distance of a short text is discounted by the
+sampling noise of its shares.
 
 Defined cases: a null or empty text has zero counts and fails the base rule; null languages and null sources are groups
-of their own; repeated rows count as often as they stand there; an empty table gives no rows; with fewer than LEAST_ROWS
-judgeable rows in all, only the base rule rejects; further columns are ignored.
+of their own; repeated rows count as often as they stand there; an empty table gives no rows; a few rows in all are
+judged with the widest spread, so that hardly any is rejected; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,12 +39,16 @@ from foliary.llm.textkernel import Words, batches_by_chars, codepoints, ngram_ha
 
 LEAST_WORDS = 50
 MOST_REPEAT_PERCENT = 50
-#: Share of rows that the estimate rests on, and steps towards it.
+#: Share of rows that the estimate rests on; steps end when no log determinant falls by more than SETTLED.
 COVER = 0.75
-STEPS = 6
-LEAST_ROWS = 60
+SETTLED = 1e-3
+MOST_STEPS = 40
+#: Rows that the estimate of the language, or over all, counts as.
+PRIOR = 60
 GRID = 1024
-BINS_PER_E = 16
+#: Bins of distances and of values: by logarithm, and by inverse hyperbolic sine.
+BINS_PER_E = 32
+VALUE_BINS = 64
 #: Tail of the chi-squared distribution beyond which a document is an outlier.
 TAIL = 1e-3
 #: Words at which a document's own sampling noise is as large as the spread between documents.
@@ -119,7 +130,9 @@ def _vector() -> list[Column]:
 
 D = len(FEATURES)
 _PAIRS = list(combinations_with_replacement(range(D), 2))
-_PARAMS = "g string, rows long, " + ", ".join(f"c{i} double" for i in range(D)) + ", " + ", ".join(f"p{i}_{j} double" for i, j in _PAIRS)
+_NUMBERS = [f"c{i}" for i in range(D)] + [f"p{i}_{j}" for i, j in _PAIRS]
+#: c: centre, p: scatter.
+_PARAMS = "g string, start string, rows long, logdet double, " + ", ".join(f"{c} double" for c in _NUMBERS)
 
 
 def chi2_quantile(p: float, d: int) -> float:
@@ -127,20 +140,57 @@ def chi2_quantile(p: float, d: int) -> float:
     return d * (1 - 2 / (9 * d) + NormalDist().inv_cdf(p) * (2 / (9 * d)) ** 0.5) ** 3
 
 
-def _params(g: str, rows: int, centre: np.ndarray, scatter: np.ndarray) -> pd.DataFrame:
-    precise = np.linalg.inv(scatter + np.diag(LEAST_SPREAD**2))
-    return pd.DataFrame([[g, rows, *centre, *(precise[i, j] for i, j in _PAIRS)]], columns=[x.split()[0] for x in _PARAMS.split(", ")])
+def _floored(scatter: np.ndarray) -> np.ndarray:
+    """The scatter with no variance below its feature's least spread."""
+    return scatter + np.diag(np.maximum(0, LEAST_SPREAD**2 - np.diag(scatter)))
 
 
-def _start(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Medians and median absolute deviations, from counts of the rounded values."""
+def _row(g: str, start: str, rows: int, centre: np.ndarray, scatter: np.ndarray) -> list:
+    scatter = _floored(scatter)
+    return [g, start, rows, float(np.linalg.slogdet(scatter)[1]), *centre, *(scatter[i, j] for i, j in _PAIRS)]
+
+
+def _frame(rows: list[list]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=[x.split()[0] for x in _PARAMS.split(", ")])
+
+
+def _square(numbers: dict) -> np.ndarray:
+    out = np.zeros((D, D))
+    for i, j in _PAIRS:
+        out[i, j] = out[j, i] = numbers[f"p{i}_{j}"]
+    return out
+
+
+def _moments(sums: pd.DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
+    n = int(sums["n"].sum())
+    centre = np.array([sums[f"s{i}"].sum() for i in range(D)]) / n / GRID
+    scatter = np.zeros((D, D))
+    for i, j in _PAIRS:
+        scatter[i, j] = scatter[j, i] = sums[f"s{i}_{j}"].sum() / n / GRID**2 - centre[i] * centre[j]
+    return n, centre, scatter
+
+
+def _from_bins(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Medians and median absolute deviations, from counts of binned values."""
     centre, spread = np.zeros(D), np.zeros(D)
     for j, part in pdf.groupby("j"):
-        x, n = part["q"].to_numpy() / GRID, part["n"].to_numpy()
+        x, n = np.sinh(part["bin"].to_numpy() / VALUE_BINS), part["n"].to_numpy()
         middle = lambda v, w: v[(o := np.argsort(v, kind="stable"))][np.searchsorted(np.cumsum(w[o]), w.sum() / 2)]
         centre[j] = middle(x, n)
         spread[j] = 1.4826 * middle(np.abs(x - centre[j]), n)
-    return _params(pdf["g"].iloc[0], int(pdf.loc[pdf["j"] == 0, "n"].sum()), centre, np.diag(spread**2))
+    return _frame([_row(pdf["g"].iloc[0], "median", int(pdf.loc[pdf["j"] == 0, "n"].sum()), centre, np.diag(spread**2))])
+
+
+def _classical(pdf: pd.DataFrame) -> pd.DataFrame:
+    return _frame([_row(pdf["g"].iloc[0], "mean", *_moments(pdf))])
+
+
+def _by_sign(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The sign covariance, in units of the deviations around the medians."""
+    first = pdf.iloc[0]
+    spread = np.sqrt(np.array([first[f"p{i}_{i}"] for i in range(D)]))
+    n, _, signs = _moments(pdf.assign(**{f"s{i}": 0 for i in range(D)}))
+    return _frame([_row(first["g"], "sign", n, np.array([first[f"c{i}"] for i in range(D)]), signs * D * np.outer(spread, spread))])
 
 
 def _concentrate(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -148,42 +198,115 @@ def _concentrate(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values("bin")
     n = pdf["n"].to_numpy()
     last = int(np.searchsorted(np.cumsum(n), COVER * n.sum()))
-    near = pdf.iloc[: last + 1]
-    h = near["n"].sum()
-    centre = np.array([near[f"s{i}"].sum() for i in range(D)]) / h / GRID
-    scatter = np.zeros((D, D))
-    for i, j in _PAIRS:
-        scatter[i, j] = scatter[j, i] = near[f"s{i}_{j}"].sum() / h / GRID**2 - centre[i] * centre[j]
-    # the nearest share of a normal cloud is tighter than the cloud: widened to match its quantile
-    edge = np.exp((pdf["bin"].iloc[last] + 1) / BINS_PER_E)
-    scatter *= max(1.0, edge / chi2_quantile(min(h / n.sum(), 0.999), D)) if pdf["final"].iloc[0] else 1 / COVER
-    return _params(pdf["g"].iloc[0], int(n.sum()), centre, scatter)
+    _, centre, scatter = _moments(pdf.iloc[: last + 1])
+    return _frame([_row(pdf["g"].iloc[0], pdf["start"].iloc[0], int(n.sum()), centre, scatter)])
+
+
+def _widened(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The scatter of the nearest rows, which is tighter than the cloud's, widened so that their edge lies at its quantile."""
+    pdf = pdf.sort_values("bin")
+    n = pdf["n"].to_numpy()
+    last = int(np.searchsorted(np.cumsum(n), COVER * n.sum()))
+    share = min(np.cumsum(n)[last] / n.sum(), 0.999)
+    edge = np.exp((pdf["bin"].iloc[last] + 0.5) / BINS_PER_E)
+    first = pdf.iloc[0]
+    return _frame([_row(first["g"], first["start"], int(n.sum()), np.array([first[f"c{i}"] for i in range(D)]), _square(first) * max(1.0, edge / chi2_quantile(share, D)))])
+
+
+def _precision(numbers: dict) -> np.ndarray:
+    return np.linalg.inv(_square(numbers))
 
 
 def _distance() -> Column:
+    """The squared distance of x from c by the precision q."""
     gap = [F.col(f"x{i}") / GRID - F.col(f"c{i}") for i in range(D)]
     total = F.lit(0.0)
     for i, j in _PAIRS:
-        total = total + F.col(f"p{i}_{j}") * gap[i] * gap[j] * (1 if i == j else 2)
+        total = total + F.col(f"q{i}_{j}") * gap[i] * gap[j] * (1 if i == j else 2)
     return F.greatest(total, F.lit(0.0))
 
 
+def _inverted(params: DataFrame) -> DataFrame:
+    """Parameters with the precision (q) beside the scatter."""
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            inverse = [_precision(r) for r in pdf.to_dict("records")]
+            yield pdf.assign(**{f"q{i}_{j}": [m[i, j] for m in inverse] for i, j in _PAIRS})
+
+    return params.mapInPandas(add, ", ".join(f"{c} {t}" for c, t in params.dtypes) + ", " + ", ".join(f"q{i}_{j} double" for i, j in _PAIRS))
+
+
 def estimate(rows: DataFrame) -> DataFrame:
     """The MCD parameters of each g, from rows (g, x0, ...)."""
-    values = F.explode(F.array(*[F.struct(F.lit(i).alias("j"), F.col(f"x{i}").alias("q")) for i in range(D)]))
-    tally = rows.select("g", values.alias("v")).groupBy("g", "v.j", "v.q").agg(F.count("*").alias("n"))
-    params = save(tally.groupBy("g").applyInPandas(_start, _PARAMS), "mcd")
-    sums = [F.sum(f"x{i}").alias(f"s{i}") for i in range(D)] + [F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}_{j}") for i, j in _PAIRS]
-    for step in range(STEPS):
-        bins = F.floor(F.log(_distance() + F.lit(1e-6)) * BINS_PER_E).cast("int").alias("bin")
-        near = rows.join(params, "g").select("g", bins, *[f"x{i}" for i in range(D)])
-        tally = near.groupBy("g", "bin").agg(F.count("*").alias("n"), *sums).withColumn("final", F.lit(step == STEPS - 1))
-        params = save(tally.groupBy("g").applyInPandas(_concentrate, _PARAMS), "mcd")
-    return params
+    values = F.explode(F.array(*[F.struct(F.lit(i).alias("j"), F.round(F.asinh(F.col(f"x{i}") / GRID) * VALUE_BINS).cast("int").alias("bin")) for i in range(D)]))
+    tally = rows.select("g", values.alias("v")).groupBy("g", "v.j", "v.bin").agg(F.count("*").alias("n"))
+    medians = save(tally.groupBy("g").applyInPandas(_from_bins, _PARAMS), "mcd-median")
+    products = [F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}_{j}") for i, j in _PAIRS]
+    sums = [F.count("*").alias("n"), *(F.sum(f"x{i}").alias(f"s{i}") for i in range(D)), *products]
+    means = rows.groupBy("g").agg(*sums).groupBy("g").applyInPandas(_classical, _PARAMS)
+    # unit vectors from the medians, in deviations, on the grid: their products are summed as integers too
+    gap = [(F.col(f"x{i}") / GRID - F.col(f"c{i}")) / F.sqrt(f"p{i}_{i}") for i in range(D)]
+    length = F.sqrt(sum((x * x for x in gap), F.lit(1e-12)))
+    unit = rows.join(medians, "g").select("g", *[F.round(x / length * GRID).cast("long").alias(f"x{i}") for i, x in enumerate(gap)])
+    signs = unit.groupBy("g").agg(F.count("*").alias("n"), *products).join(medians, "g").groupBy("g").applyInPandas(_by_sign, _PARAMS)
+    params = save(medians.unionByName(means).unionByName(signs), "mcd")
+
+    bins = F.floor(F.log(_distance() + F.lit(1e-6)) * BINS_PER_E).cast("int").alias("bin")
+    active, done = params, None
+    for _ in range(MOST_STEPS):
+        near = rows.join(_inverted(active), "g").select("g", "start", bins, *[f"x{i}" for i in range(D)])
+        made = save(near.groupBy("g", "start", "bin").agg(*sums).groupBy("g", "start").applyInPandas(_concentrate, _PARAMS), "mcd")
+        if done is not None:  # the first step leaves the start behind, whatever its determinant
+            before = active.select("g", "start", F.col("logdet").alias("before"))
+            settled = made.join(before, ["g", "start"]).where(F.col("logdet") >= F.col("before") - SETTLED).select("g", "start")
+            done = done.unionByName(made.join(settled, ["g", "start"], "left_semi"))
+            made = save(made.join(settled, ["g", "start"], "left_anti"), "mcd")
+            if made.isEmpty():
+                break
+        else:
+            done = made.limit(0)
+        active = made
+    else:
+        done = done.unionByName(active)
+    best = save(done.groupBy("g").agg(F.min_by(F.struct("start", "rows", "logdet", *_NUMBERS), F.struct("logdet", "start")).alias("x")).select("g", "x.*"), "mcd-best")
+    edges = rows.join(_inverted(best), "g").select("g", "start", bins, *_NUMBERS).groupBy("g", "start", "bin", *_NUMBERS).agg(F.count("*").alias("n"))
+    return save(edges.groupBy("g").applyInPandas(_widened, _PARAMS), "mcd-wide")
+
+
+def _blended(own: dict, above: tuple[np.ndarray, np.ndarray] | None) -> tuple[np.ndarray, np.ndarray]:
+    """Centre and scatter of a group, drawn towards those above it by PRIOR rows."""
+    centre, scatter = np.array([own[f"c{i}"] for i in range(D)]), _square(own)
+    weight = own["rows"] / (own["rows"] + PRIOR)
+    if above is None:
+        return centre, weight * scatter + (1 - weight) * np.diag((4 * LEAST_SPREAD) ** 2)
+    gap = centre - above[0]
+    return weight * centre + (1 - weight) * above[0], weight * scatter + (1 - weight) * (above[1] + np.outer(gap, gap))
+
+
+def blend(groups: DataFrame, params: DataFrame) -> DataFrame:
+    """(g0, rows, c, p) of each group of (g0, g1, g2), with its own parameters drawn towards its language's and the overall ones."""
+    nested = F.struct("rows", *_NUMBERS)
+    for i in range(3):
+        groups = groups.join(params.select(F.col("g").alias(f"g{i}"), nested.alias(f"own{i}")), f"g{i}")
+    flat = groups.select("g0", *[F.col(f"own{i}.{c}").alias(f"{c}_of{i}") for i in range(3) for c in ("rows", *_NUMBERS)])
+
+    def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for r in pdf.to_dict("records"):
+                above = None
+                for i in (2, 1, 0):
+                    own = {c: r[f"{c}_of{i}"] for c in ("rows", *_NUMBERS)}
+                    above = _blended(own, above)
+                out.append([r["g0"], r["rows_of0"], *above[0], *(above[1][i, j] for i, j in _PAIRS)])
+            yield pd.DataFrame(out, columns=["g0", "rows", *_NUMBERS])
+
+    return flat.mapInPandas(made, "g0 string, rows long, " + ", ".join(f"{c} double" for c in _NUMBERS))
 
 
 def judge(docs: DataFrame, **columns: str) -> DataFrame:
-    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, distance, group_used."""
+    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, distance, group_rows."""
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEAT_PERCENT * F.col("n_words"))
     part = lambda c: F.coalesce(F.concat(F.lit("="), c), F.lit("null"))
     lang, source = part(F.col("lang")), part(F.col("source"))
@@ -192,15 +315,9 @@ def judge(docs: DataFrame, **columns: str) -> DataFrame:
     rows = save(rows.select("*", *_vector(), *[x.alias(f"g{i}") for i, x in enumerate(levels)]), "counts")
     sound = rows.where("not base_failed")
     spread = sound.select(F.explode(F.array("g0", "g1", "g2")).alias("g"), *[f"x{i}" for i in range(D)])
-    params = estimate(spread).where(F.col("rows") >= LEAST_ROWS)
-    # each group's parameters, resolved once per group rather than per row
-    have = params.select("g", F.lit(1).alias("have"))
-    keys = sound.select("g0", "g1", "g2").distinct()
-    for i in range(3):
-        keys = keys.join(have.select(F.col("g").alias(f"g{i}"), F.col("have").alias(f"h{i}")), f"g{i}", "left")
-    used = keys.select("g0", F.expr("case when h0 = 1 then g0 when h1 = 1 then g1 when h2 = 1 then g2 end").alias("g")).join(params, "g").withColumnRenamed("g", "group_used")
+    used = save(_inverted(blend(sound.select("g0", "g1", "g2").distinct(), estimate(spread))), "mcd-used").withColumnRenamed("rows", "group_rows")
     judged = rows.join(used, "g0", "left")
-    scaled = F.round(_distance() * F.col("n_words") / (F.col("n_words") + HALF_WORDS), 6)
-    judged = judged.withColumn("distance", F.when(~F.col("base_failed"), scaled))
+    discounted = F.round(_distance() * F.col("n_words") / (F.col("n_words") + HALF_WORDS), 6)
+    judged = judged.withColumn("distance", F.when(~F.col("base_failed"), discounted))
     kept = ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= chi2_quantile(1 - TAIL, D))
-    return judged.select("doc_id", *[c for c in COUNTS if c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], "base_failed", kept.alias("kept"), "distance", "group_used")
+    return judged.select("doc_id", *[c for c in COUNTS if c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], "base_failed", kept.alias("kept"), "distance", "group_rows")

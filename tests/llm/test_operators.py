@@ -414,13 +414,57 @@ def test_outliers(spark, vocabulary):
     assert outliers.judge(documents(spark)).count() == len(ODD) and outliers.judge(documents(spark).limit(0)).count() == 0
 
 
-def test_mcd_resists_contamination(spark):
+def mcd_in_memory(x, cover, starts):
+    """Centre and scatter of the least determinant, by concentration steps on a plain array."""
+    best = None
+    for centre, scatter in starts:
+        last = np.inf
+        for _ in range(100):
+            gap = x - centre
+            near = np.argsort(np.einsum("ij,jk,ik->i", gap, np.linalg.inv(outliers._floored(scatter)), gap), kind="stable")[: int(np.ceil(cover * len(x)))]
+            centre, scatter = x[near].mean(axis=0), np.cov(x[near].T, bias=True)
+            now = np.linalg.slogdet(outliers._floored(scatter))[1]
+            if now >= last - 1e-9:
+                break
+            last = now
+        best = min(best or (np.inf,), (now, centre, scatter), key=lambda b: b[0])
+    return best
+
+
+def test_mcd_equals_one_in_memory(spark):
     rng = np.random.default_rng(8)
-    clean = rng.normal(1.5, 0.3, (800, outliers.D))
-    x = np.concatenate((clean, rng.normal(6, 0.1, (150, outliers.D))))
-    rows = [("g", *(int(round(v * outliers.GRID)) for v in r)) for r in x]
-    got = outliers.estimate(spark.createDataFrame(rows, "g string, " + ", ".join(f"x{i} long" for i in range(outliers.D)))).first()
-    assert all(abs(got[f"c{i}"] - 1.5) < 0.06 for i in range(outliers.D))
+    d = outliers.D
+    clouds = {}
+    for n, (g, share) in enumerate((("clean", 0.0), ("near", 0.2), ("far", 0.2), ("wide", 0.15))):
+        turn = np.linalg.qr(rng.normal(size=(d, d)))[0]
+        clean = 2 + rng.normal(0, 1, (700, d)) @ np.diag([0.6, 0.5, 0.4, 0.4, 0.3, 0.3]) @ turn
+        k = int(700 * share)
+        odd = rng.normal(5 if g == "near" else 9, 0.1, (k, d)) if g != "wide" else rng.normal(2, 6, (k, d))
+        clouds[g] = np.round(np.concatenate((clean, odd)) * outliers.GRID) / outliers.GRID
+    rows = [(g, *(int(v) for v in r)) for g, x in clouds.items() for r in np.round(x * outliers.GRID)]
+    made = outliers.estimate(spark.createDataFrame(rows, "g string, " + ", ".join(f"x{i} long" for i in range(d))).repartition(7))
+    for r in made.collect():
+        x = clouds[r["g"]]
+        middle = np.median(x, axis=0)
+        spread = 1.4826 * np.median(np.abs(x - middle), axis=0)
+        unit = (x - middle) / spread
+        unit = unit / np.linalg.norm(unit, axis=1)[:, None]
+        _, centre, scatter = mcd_in_memory(x, outliers.COVER, [(middle, np.diag(spread**2)), (x.mean(axis=0), np.cov(x.T, bias=True)), (middle, unit.T @ unit / len(x) * d * np.outer(spread, spread))])
+        got = np.array([r[f"c{i}"] for i in range(d)])
+        shape = outliers._square(r.asDict())
+        assert np.abs(got - centre).max() < 0.05, r["g"]
+        assert np.abs(shape / np.trace(shape) - scatter / np.trace(scatter)).max() < 0.03, r["g"]
+        assert np.abs(got - 2).max() < 0.15  # whatever is mixed in
+
+
+def test_small_sources_are_judged_alike(spark, vocabulary):
+    """A source of its own kind keeps about as large a share of its rows, however many there are."""
+    rng = random.Random(18)
+    plain = [(i, words(vocabulary, rng.randint(80, 200), rng), "en", "main") for i in range(500)]
+    for n in (8, 30, 59, 60, 90):
+        own = [(1000 + i, " ".join(rng.choice(vocabulary).upper() + rng.choice([";", "()", ""]) for _ in range(rng.randint(80, 200))), "en", "code") for i in range(n)]
+        got = outliers.judge(spark.createDataFrame(plain + own, "doc_id long, text string, lang string, source string")).collect()
+        assert sum(r["kept"] for r in got if r["doc_id"] >= 1000) >= 0.9 * n and sum(r["kept"] for r in got if r["doc_id"] < 1000) >= 490, n
 
 
 # 6
