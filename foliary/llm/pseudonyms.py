@@ -6,20 +6,24 @@ and with the same key equal values stay linked across documents, runs and layout
 
 Kinds: payment cards (13 to 19 digits, Luhn; first digit kept, check digit renewed), IBANs (mod 97; country, length and
 letters kept, check digits renewed), US social security numbers, phone numbers (North American with area and exchange
-rules; others in +international form, first two digits kept), IPv4 addresses, dates from 1900 to 2099 (year-month-day,
-day-month-year, unambiguous month-day-year, English month names), and the local parts of e-mail addresses, letter for
-letter and digit for digit. Of a card or IBAN whose match is not valid in full, the longest valid run of leading groups
-counts. What does not validate is left as it stands.
-
-Defined cases: null stays null and empty empty, with no spans; a date like 04/05/2020 is read day first; the earliest
+rules, also as ten digits in a row; others in +international form, first two digits kept), IPv4 addresses, dates from
+1900 to 2099 (year-month-day, day-month-year, unambiguous month-day-year, with or without leading zeros, English month
+names; equal dates are linked whatever their layout), and the local parts of e-mail addresses, letter for letter and
+digit for digit. Of a card, IBAN or phone number whose match is not valid in full, the longest valid run of leading
+groups counts. What does not validate is left as it stands.
+
+Defined cases: null stays null and empty empty, with no spans; a date like 04/05/2020 is read day first; a date without
+leading zeros may come back with them; the earliest
 match wins where two overlap, and of those the kind that stands first in KINDS; the format's rare fixed points may map
 a value to itself; repeated rows are treated alike; further columns are ignored.
 """
 
 from __future__ import annotations
 
+import bisect
 import datetime as dt
 import hashlib
+import itertools
 import re
 from collections.abc import Callable, Iterator
 
@@ -148,40 +152,35 @@ def _date(y: int, m: int, d: int) -> int | None:
     return day if FIRST_DAY <= day <= LAST_DAY else None
 
 
-def _moved(day: int, permute: Permute) -> dt.date:
-    return dt.date.fromordinal(FIRST_DAY + permute("date", day - FIRST_DAY, LAST_DAY - FIRST_DAY + 1))
-
-
-#: Places in the month from the 13th on, month by month: the dates that can only be read month first.
-def _late(day: dt.date) -> int:
-    months = (day.year - 1900) * 12 + day.month - 1
-    return sum(_LATE_DAYS[:months]) + day.day - 13
+#: Days of each month from the 13th on, summed up: the dates that are read alike day first and month first.
+_LATE = list(itertools.accumulate(((dt.date(1900 + (k + 1) // 12, (k + 1) % 12 + 1, 1) - dt.timedelta(1)).day - 12 for k in range(200 * 12)), initial=0))
 
 
-_LATE_DAYS = [(dt.date(1900 + (k + 1) // 12, (k + 1) % 12 + 1, 1) - dt.timedelta(1)).day - 12 for k in range(200 * 12)]
-
-
-def _late_day(x: int) -> tuple[int, int, int]:
-    k = 0
-    while x >= _LATE_DAYS[k]:
-        x -= _LATE_DAYS[k]
-        k += 1
-    return 1900 + k // 12, k % 12 + 1, x + 13
+def _moved(day: int, permute: Permute) -> dt.date:
+    """The date's pseudonym, the same in every layout: up to the 12th and from the 13th on, days keep to themselves, so that it can be read back."""
+    date = dt.date.fromordinal(day)
+    month = (date.year - 1900) * 12 + date.month - 1
+    if date.day <= 12:
+        month, place = divmod(permute("early date", month * 12 + date.day - 1, 200 * 12 * 12), 12)
+        return dt.date(1900 + month // 12, month % 12 + 1, place + 1)
+    x = permute("late date", _LATE[month] + date.day - 13, _LATE[-1])
+    month = bisect.bisect_right(_LATE, x) - 1
+    return dt.date(1900 + month // 12, month % 12 + 1, x - _LATE[month] + 13)
 
 
 def _number_date(text: str, permute: Permute) -> str | None:
     a, sep, b, _, c = re.split(r"([-/.])", text)
+    two = "02d" if min(len(a), len(b), len(c)) == 2 else "d"
     if len(a) == 4:
-        day = _date(int(a), int(b), int(c))
-        return _moved(day, permute).strftime(f"%Y{sep}%m{sep}%d") if day else None
-    day = _date(int(c), int(b), int(a))
-    if day:
-        return _moved(day, permute).strftime(f"%d{sep}%m{sep}%Y")
-    day = _date(int(c), int(a), int(b))
+        day, layout = _date(int(a), int(b), int(c)), f"{{y}}{sep}{{m:{two}}}{sep}{{d:{two}}}"
+    else:
+        day, layout = _date(int(c), int(b), int(a)), f"{{d:{two}}}{sep}{{m:{two}}}{sep}{{y}}"
+        if day is None:
+            day, layout = _date(int(c), int(a), int(b)), f"{{m:{two}}}{sep}{{d:{two}}}{sep}{{y}}"
     if day is None:
         return None
-    y, m, d = _late_day(permute("late date", _late(dt.date.fromordinal(day)), sum(_LATE_DAYS)))
-    return f"{m:02d}{sep}{d:02d}{sep}{y}"
+    new = _moved(day, permute)
+    return layout.format(y=new.year, m=new.month, d=new.day)
 
 
 def _named_date(text: str, permute: Permute) -> str | None:
@@ -217,15 +216,15 @@ _MONTH = "|".join(MONTHS)
 KINDS: tuple[tuple[str, str, Callable[[str, Permute], str | None]], ...] = (
     ("email", r"(?<![\w.+-])[A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,62}[A-Za-z0-9])?@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,24}\b", _email),
     ("iban", r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b", _iban),
-    ("date", r"(?<![\w./-])(?:(?:19|20)[0-9]{2}([-/.])[0-9]{2}\1[0-9]{2}|[0-9]{2}([-/.])[0-9]{2}\2(?:19|20)[0-9]{2})(?![\w/-]|\.[0-9])", _number_date),
+    ("date", r"(?<![\w./-])(?:(?:19|20)[0-9]{2}([-/.])[0-9]{1,2}\1[0-9]{1,2}|[0-9]{1,2}([-/.])[0-9]{1,2}\2(?:19|20)[0-9]{2})(?![\w/-]|\.[0-9])", _number_date),
     ("date", rf"\b(?:[0-9]{{1,2}} (?:{_MONTH}) (?:19|20)[0-9]{{2}}|(?:{_MONTH}) [0-9]{{1,2}},? (?:19|20)[0-9]{{2}})\b", _named_date),
     ("ssn", r"(?<![\w.-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])", _ssn),
     ("ip", r"(?<![\w.-])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9]|[\w-])", _ip),
-    ("phone", r"(?<![\w.])(?:\+1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![\w-])|(?<![\w.])\+[0-9]{1,3}(?:[ .-]?\(?[0-9]{1,5}\)?){2,6}(?![\w-])", _phone),
-    ("card", r"(?<![\w.-])[0-9](?:[ -]?[0-9]){12,18}(?![\w-])", _card),
+    ("phone", r"(?<![\w.])(?:\+1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![\w-])|(?<![\w.])\+[0-9]{1,3}(?:[ .-]?\(?[0-9]{1,5}\)?){2,6}(?![\w-])|(?<![\w.+-])[2-9][0-9]{2}[2-9][0-9]{6}(?![\w-]|\.[0-9])", _phone),
+    ("card", r"(?<![\w.+-])[0-9](?:[ -]?[0-9]){12,18}(?![\w-])", _card),
 )
 #: Kinds whose numbers are written in groups, so that a match may take in groups that follow the number.
-GROUPED = frozenset(["card", "iban"])
+GROUPED = frozenset(["card", "iban", "phone"])
 _PATTERN = re.compile("|".join(f"(?P<k{n}>{re.sub(chr(92) + chr(92) + '([12])', lambda m, n=n: f'(?P=s{n}{m[1]})', p)})" for n, (_, p, _) in enumerate((k, re.sub(r'\(\[-/\.\]\)', lambda m, c=iter('12'), n=i: f'(?P<s{n}{next(c)}>[-/.])', p), f) for i, (k, p, f) in enumerate(KINDS))))
 _HINT = re.compile(r"[0-9@]")
 
