@@ -69,6 +69,7 @@ class Slices:
 
     def __init__(self, points: np.ndarray, family: int = 0):
         n = len(points)
+        self.family = family
         self.prefix = np.zeros(n + 1, dtype=U)
         np.cumsum(_char_codes(family)[points] * _power(_P, n + 1)[:n], out=self.prefix[1:])
         self.back = _power(_P_INV, n + 1)

@@ -3,12 +3,13 @@
 ``write`` deals the documents out by ranges of ``doc_id``; each partition encodes its documents in ascending order
 and streams three files into a shared folder:
 
-* ``part-NNNNN.bin``  the token ids of all its documents in a row, little-endian unsigned 16 or 32 bit;
-* ``part-NNNNN.idx``  unsigned 64-bit offsets into it, one more than documents;
-* ``part-NNNNN.doc``  the documents' ids, signed 64 bit (``NULL_ID`` for a null id).
+* ``part-NNNNN-MMM.bin``  the token ids of its documents in a row, little-endian unsigned 16 or 32 bit;
+* ``part-NNNNN-MMM.idx``  unsigned 64-bit offsets into it, one more than documents;
+* ``part-NNNNN-MMM.doc``  the documents' ids, signed 64 bit (``NULL_ID`` for a null id).
 
-``manifest`` gives every partition its base, the prefix sum of the token counts of the partitions before it, so that a
-document's global start is base + local offset. ``read`` maps the files into memory and returns a row per document.
+A partition of over PART_TOKENS tokens goes on in further files, numbered MMM. ``manifest`` gives every part its base, the
+prefix sum of the token counts of the parts before it, so that a document's global start is base + local offset. ``read``
+maps the files into memory, or reads ranges of them where the store is not a local one, and returns a row per document.
 
 Defined cases: a null or empty text is the end id alone; documents with equal ids stand side by side, ordered by a
 hash of the text; null ids come first; an empty table makes no files and no rows; further columns are ignored. A file
@@ -21,7 +22,7 @@ from __future__ import annotations
 import os
 import unicodedata
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -37,6 +38,9 @@ from foliary.llm.textkernel import Slices, batches_by_chars, codepoints
 NULL_ID = -(1 << 63)
 #: Characters encoded at a time, and pretokens kept by a worker before it starts anew: both bound a worker's memory.
 BATCH_CHARS = 1 << 19
+#: Tokens after which a file ends with the batch of documents, and tokens that are read back at a time.
+PART_TOKENS = 1 << 28
+READ_TOKENS = 1 << 23
 CACHE_MOST = 1 << 21
 #: Code points from here on are left to the tokenizer's own splitter.
 PLAIN_BELOW = 0x250
@@ -93,7 +97,7 @@ class Encoder:
     """Encodes texts with a tokenizer file; each distinct piece of text is encoded by the library once per worker.
 
     The pieces' ids stand in ``flat``; ``keys`` and ``slot_of`` are an open-addressed table from a piece's hash to its
-    place. Both are bounded by ``CACHE_MOST`` pieces, after which they start anew. A tokenizer that isn't byte-level BPE
+    place, and ``second`` has another hash of it: a piece that shares one hash with another is not taken for it. Both are bounded by ``CACHE_MOST`` pieces, after which they start anew. A tokenizer that isn't byte-level BPE
     gets whole texts.
     """
 
@@ -114,6 +118,7 @@ class Encoder:
         self.slot_of = np.zeros(4 * CACHE_MOST, dtype=np.int32)
         self.begin = np.zeros(1 << 16, dtype=np.int64)
         self.length = np.zeros(1 << 16, dtype=np.int64)
+        self.second = np.zeros(1 << 16, dtype=np.uint64)
         self.flat = np.zeros(1 << 18, dtype=np.uint32)
         self.used = 0
 
@@ -135,18 +140,19 @@ class Encoder:
             open_ = open_[~hit & (there != 0)]
         return slot
 
-    def _learn(self, hashes: np.ndarray, pieces: list[str]) -> None:
+    def _learn(self, hashes: np.ndarray, second: np.ndarray, pieces: list[str]) -> None:
         tokenize, signs, mask = self.model.tokenize, self.signs, len(self.keys) - 1
         coded = [[t.id for t in tokenize(p.encode().decode("latin-1").translate(signs))] for p in pieces]
         lengths = np.fromiter(map(len, coded), dtype=np.int64, count=len(coded))
         k, n, total = self.known, len(coded), int(lengths.sum())
         while k + n > len(self.begin):
-            self.begin, self.length = (np.concatenate((x, np.zeros_like(x))) for x in (self.begin, self.length))
+            self.begin, self.length, self.second = (np.concatenate((x, np.zeros_like(x))) for x in (self.begin, self.length, self.second))
         while self.used + total > len(self.flat):
             self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
         self.flat[self.used : self.used + total] = [i for ids in coded for i in ids]
         self.begin[k : k + n] = self.used + np.cumsum(lengths) - lengths
         self.length[k : k + n] = lengths
+        self.second[k : k + n] = second
         self.used, self.known = self.used + total, k + n
         for i, h in enumerate(hashes.tolist(), k):
             at = h & mask
@@ -160,6 +166,7 @@ class Encoder:
         start = np.flatnonzero(pretoken_starts(points, offsets, self.classes))
         end = np.append(start[1:], len(points))
         hashes = Slices(points).hash(start, end) | np.uint64(1)
+        second = Slices(points, 1).hash(start, end)
         slot = self._find(hashes)
         new = np.flatnonzero(slot < 0)
         if len(new):
@@ -170,8 +177,10 @@ class Encoder:
                 unique, at = np.unique(hashes, return_index=True)
                 new = np.arange(len(hashes))
             at = new[at]
-            self._learn(unique, [joined[a:b] for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)])
+            self._learn(unique, second[at], [joined[a:b] for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)])
             slot[new] = self._find(hashes[new])
+        if (self.second[slot] != second).any():  # two pieces of one hash: the library decides
+            return [np.asarray(x, dtype=np.uint32) for x in self.whole(texts)]
         length = self.length[slot]
         ends = np.cumsum(length)
         ids = self.flat[np.repeat(self.begin[slot] - ends + length, length) + np.arange(ends[-1])]
@@ -223,48 +232,88 @@ class TokenFiles:
 
     @property
     def manifest(self) -> DataFrame:
-        """part, n_docs, n_tokens, base. A row per partition; its prefix sum runs over those few rows."""
-        before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+        """part, piece, n_docs, n_tokens, base. A row per file; its prefix sum runs over those few rows."""
+        before = Window.orderBy("part", "piece").rowsBetween(Window.unboundedPreceding, -1)
         return self.parts.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
 
     def read(self) -> DataFrame:
-        """doc_id, start, n_tokens, ids_crc32, part, read back from the files."""
+        """doc_id, start, n_tokens, ids_crc32, part, piece, read back from the files."""
         folder, dtype = self.folder, self.dtype
 
         def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             files, root = open_fs(folder)
             for batch in batches:
-                for part, base in zip(batch["part"].to_pylist(), batch["base"].to_pylist(), strict=True):
-                    yield from _read_part(files, f"{root}/part-{part:05d}", dtype, part, base)
-
-        manifest = self.manifest.select("part", "base")
-        return manifest.repartition(max(1, self.parts.count()), "part").mapInArrow(rows, "doc_id long, start long, n_tokens long, ids_crc32 long, part int")
-
-
-def _read_part(files: pafs.FileSystem, stem: str, dtype: str, part: int, base: int) -> Iterator[pa.RecordBatch]:
-    def array(suffix: str, kind: str) -> np.ndarray:
-        if isinstance(files, pafs.LocalFileSystem):
-            return np.memmap(stem + suffix, dtype=kind, mode="r") if os.path.getsize(stem + suffix) else np.zeros(0, kind)
-        with files.open_input_file(stem + suffix) as f:
-            return np.frombuffer(f.read_buffer(), dtype=kind)
-
-    ids, offsets, docs = array(".bin", dtype), array(".idx", "<u8").astype(np.int64), array(".doc", "<i8")
-    for at in range(0, len(docs), 8192):
-        some = range(at, min(at + 8192, len(docs)))
-        crc = [zlib.crc32(ids[offsets[i] : offsets[i + 1]].astype("<u4").tobytes()) for i in some]
-        part_ids = docs[some.start : some.stop]
+                for part, piece, base in zip(*(batch[c].to_pylist() for c in ("part", "piece", "base")), strict=True):
+                    yield from _read_part(files, _stem(root, part, piece), dtype, part, piece, base)
+
+        manifest = self.manifest.select("part", "piece", "base")
+        return manifest.repartition(max(1, self.parts.count()), "part", "piece").mapInArrow(rows, "doc_id long, start long, n_tokens long, ids_crc32 long, part int, piece int")
+
+
+def _stem(root: str, part: int, piece: int) -> str:
+    return f"{root}/part-{part:05d}-{piece:03d}"
+
+
+def _ranges(files: pafs.FileSystem, path: str, kind: str) -> tuple[int, Callable[[int, int], np.ndarray]]:
+    """How many numbers a file holds, and a function that reads those of a range."""
+    size = files.get_file_info(path).size // np.dtype(kind).itemsize
+    if isinstance(files, pafs.LocalFileSystem):
+        mapped = np.memmap(path, dtype=kind, mode="r") if size else np.zeros(0, kind)
+        return size, lambda a, b: mapped[a:b]
+    file, width = files.open_input_file(path), np.dtype(kind).itemsize
+    return size, lambda a, b: np.frombuffer(file.read_at((b - a) * width, a * width), dtype=kind)
+
+
+def _read_part(files: pafs.FileSystem, stem: str, dtype: str, part: int, piece: int, base: int) -> Iterator[pa.RecordBatch]:
+    _, ids = _ranges(files, stem + ".bin", dtype)
+    _, index = _ranges(files, stem + ".idx", "<u8")
+    n, docs = _ranges(files, stem + ".doc", "<i8")
+    for at in range(0, n, 8192):
+        some = range(at, min(at + 8192, n))
+        offsets = np.array(index(some.start, some.stop + 1), dtype=np.int64)
+        crc, i = [], 0
+        while i < len(some):  # as many documents as READ_TOKENS hold, one at least
+            to = max(i + 1, int(np.searchsorted(offsets, offsets[i] + READ_TOKENS, side="right")) - 1)
+            held = ids(int(offsets[i]), int(offsets[to]))
+            crc += [zlib.crc32(held[offsets[k] - offsets[i] : offsets[k + 1] - offsets[i]].astype("<u4").tobytes()) for k in range(i, to)]
+            i = to
+        part_ids = np.array(docs(some.start, some.stop))
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array(part_ids, mask=part_ids == NULL_ID),
-                pa.array(offsets[some.start : some.stop] + base),
-                pa.array(np.diff(offsets[some.start : some.stop + 1])),
+                pa.array(offsets[:-1] + base),
+                pa.array(np.diff(offsets)),
                 pa.array(crc, pa.int64()),
                 pa.array(np.full(len(some), part, np.int32)),
+                pa.array(np.full(len(some), piece, np.int32)),
             ],
-            ["doc_id", "start", "n_tokens", "ids_crc32", "part"],
+            ["doc_id", "start", "n_tokens", "ids_crc32", "part", "piece"],
         )
 
 
+class _Part:
+    """The three files of a part while it is written."""
+
+    def __init__(self, files: pafs.FileSystem, stem: str, mark: str):
+        self.files, self.stem, self.mark = files, stem, mark
+        self.outs = {s: files.open_output_stream(stem + s + mark) for s in (".bin", ".idx", ".doc")}
+        self.outs[".idx"].write(np.zeros(1, "<u8").tobytes())
+        self.docs = self.tokens = 0
+
+    def add(self, ids: list[int | None], coded: list[np.ndarray], end_id: int, dtype: str) -> None:
+        for x in coded:
+            self.outs[".bin"].write(np.append(x, end_id).astype(dtype).tobytes())
+        lengths = np.array([len(x) + 1 for x in coded], dtype=np.int64)
+        self.outs[".idx"].write((self.tokens + np.cumsum(lengths)).astype("<u8").tobytes())
+        self.outs[".doc"].write(np.array([NULL_ID if i is None else i for i in ids], "<i8").tobytes())
+        self.docs, self.tokens = self.docs + len(coded), self.tokens + int(lengths.sum())
+
+    def finish(self) -> None:
+        for s, f in self.outs.items():
+            f.close()
+            self.files.move(self.stem + s + self.mark, self.stem + s)
+
+
 def write(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> TokenFiles:
     """Encode every whole text and write the files; ``folder`` must be one that all executors share."""
     from tokenizers import Tokenizer
@@ -277,30 +326,28 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str | None
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
         files, root = open_fs(folder)
-        stem, mark = f"{root}/part-{task.partitionId():05d}", f".{task.taskAttemptId()}.tmp"
-        enc, n_docs, n_tokens = encoder(tokenizer_path), 0, 0
-        outs = {s: files.open_output_stream(stem + s + mark) for s in (".bin", ".idx", ".doc")}
-        outs[".idx"].write(np.zeros(1, "<u8").tobytes())
+        number, mark = task.partitionId(), f".{task.taskAttemptId()}.tmp"
+        enc, part, pieces = encoder(tokenizer_path), None, 0
+        done: list[tuple[int, int, int, int]] = []
+
+        def close(part: _Part) -> None:
+            part.finish()
+            done.append((number, pieces, part.docs, part.tokens))
+
         for batch in batches:
             ids, texts = batch["id"].to_pylist(), batch["text"].to_pylist()
             for some in batches_by_chars(texts, BATCH_CHARS):
-                coded = enc.encode(texts[some])
-                lengths = np.array([len(x) + 1 for x in coded], dtype=np.int64)
-                for x in coded:
-                    outs[".bin"].write(np.append(x, end_id).astype(dtype).tobytes())
-                outs[".idx"].write((n_tokens + np.cumsum(lengths)).astype("<u8").tobytes())
-                outs[".doc"].write(np.array([NULL_ID if i is None else i for i in ids[some]], "<i8").tobytes())
-                n_docs, n_tokens = n_docs + len(coded), n_tokens + int(lengths.sum())
-        for s, f in outs.items():
-            f.close()
-            if n_docs:
-                files.move(stem + s + mark, stem + s)
-            else:
-                files.delete_file(stem + s + mark)
-        if n_docs:
-            yield pa.RecordBatch.from_arrays([pa.array([task.partitionId()], pa.int32()), pa.array([n_docs]), pa.array([n_tokens])], ["part", "n_docs", "n_tokens"])
+                part = part or _Part(files, _stem(root, number, pieces), mark)
+                part.add(ids[some], enc.encode(texts[some]), end_id, dtype)
+                if part.tokens >= PART_TOKENS:
+                    close(part)
+                    part, pieces = None, pieces + 1
+        if part:
+            close(part)
+        if done:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True), (pa.int32(), pa.int32(), pa.int64(), pa.int64()), strict=True)], ["part", "piece", "n_docs", "n_tokens"])
 
     tie = F.xxhash64("text")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     dealt = rows.repartitionByRange(F.col("id"), tie).sortWithinPartitions("id", tie)
-    return TokenFiles(spark, folder, dtype, save(dealt.mapInArrow(encode, "part int, n_docs long, n_tokens long"), "token-parts"))
+    return TokenFiles(spark, folder, dtype, save(dealt.mapInArrow(encode, "part int, piece int, n_docs long, n_tokens long"), "token-parts"))
