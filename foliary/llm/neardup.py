@@ -8,17 +8,19 @@ sketch of minwise values passes pairs that may be similar, and full sets decide.
 end, linked classes become components; a node whose members are all of one component already has nothing to add and is
 left out, which is what keeps large groups of near copies linear.
 
-A node that stays large at the last depth is compared in two passes. Its members are first dealt into blocks, each
+A node of over BLOCK members at the last depth is compared in two passes. Its members are first dealt into blocks, each
 with a few hubs of the node, and linked; what is then of the node's largest component is dealt into blocks again, and
 every other member meets every block, so that no pair of different components is left out and no task grows with the
 node.
 
 Two sets of similarity 0.85 meet in a given small root node with probability 0.85; over 8 trees all miss with probability
-3e-7 (below 1e-4 if every tree must branch to its last depth).
+3e-7. Where every node must branch to the last depth a tree brings them together with probability 0.82, and all miss with
+probability 1e-6.
 
 Defined cases: a text that is null or has no words has the empty set and is linked with nothing; with fewer words than a
-shingle takes, the whole sequence is its one shingle; a null id is linked with nothing, has a null component and is
-kept; rows with the same id are one node, and are all kept if the node is; further columns are ignored by ``find`` and
+shingle takes, the whole sequence is its one shingle; for ``find`` a null id is linked with nothing, has a null component
+and is kept, and rows with the same id are one node, all kept if the node is; ``keep_one`` judges every row by its own
+text, also if its id is null or not its alone, and of equal rows keeps one; further columns are ignored by ``find`` and
 carried through by ``keep_one``.
 """
 
@@ -42,8 +44,9 @@ PERCENT = 85
 TREES = 8
 BRANCHES = 2
 DEPTH = 3
-#: Members of a node that one task compares with each other, and hubs of a larger one.
-NODE = 8192
+#: Members of a node that does not branch any more; of the last depth's nodes, how many one task compares, and hubs of a larger one.
+NODE = 256
+BLOCK = 2048
 HUBS = 4
 #: Minwise values of 16 bits in a sketch; an estimate below SKETCH_LEAST is over four deviations from 0.85.
 LANES = 256
@@ -266,9 +269,10 @@ class ChosenPath:
         cells, large = None, None
         for depth in range(DEPTH + 1):
             rows = save(self.alive(rows), f"nodes{depth}")
-            small = rows.where(F.col("size") <= NODE).select(F.col("node").alias("cell"), "id", "comp", "n", F.lit(0).cast("long").alias("side"))
+            most = NODE if depth < DEPTH else max(NODE, BLOCK)
+            small = rows.where(F.col("size") <= most).select(F.col("node").alias("cell"), "id", "comp", "n", F.lit(0).cast("long").alias("side"))
             cells = small if cells is None else cells.unionByName(small)
-            rows = rows.where(F.col("size") > NODE)
+            rows = rows.where(F.col("size") > most)
             if rows.isEmpty():
                 break
             if depth == DEPTH:
@@ -285,7 +289,7 @@ class ChosenPath:
     @staticmethod
     def _by_hubs(rows: DataFrame) -> DataFrame:
         """Blocks of a large node's members, each with the node's hubs."""
-        blocks = F.ceil(F.col("size") / NODE).cast("long")
+        blocks = F.ceil(F.col("size") / BLOCK).cast("long")
         mine = F.pmod(F.xxhash64("id", F.lit("block")), blocks)
         hub = F.expr(" or ".join(f"id = hub{h}" for h in range(HUBS)))
         at = F.when(hub, F.sequence(F.lit(0).cast("long"), blocks - 1)).otherwise(F.array(mine))
@@ -299,7 +303,7 @@ class ChosenPath:
         rows = rows.join(most.where("m < size"), "node")
         if rows.isEmpty():
             return
-        m_blocks, r_blocks = F.ceil(F.col("m") / NODE), F.ceil((F.col("size") - F.col("m")) / NODE)
+        m_blocks, r_blocks = F.ceil(F.col("m") / BLOCK), F.ceil((F.col("size") - F.col("m")) / BLOCK)
         h = F.xxhash64("id", F.lit("rest"))
         major = F.col("comp") == F.col("top")
         pair = lambda x, y, kind, side: F.struct(x.cast("long").alias("x"), y.cast("long").alias("y"), F.lit(kind).alias("kind"), side.cast("long").alias("side"))
@@ -338,6 +342,20 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percen
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", find_: Callable[..., DataFrame] = find) -> DataFrame:
-    """The documents without those that are near copies of one with a smaller id."""
-    gone = find_(docs, id_col, text_col).where("not kept").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(gone, id_col, "left_anti")
+    """One row of each group of near copies, that of the least id, one without an id only if no other has one."""
+    own = F.col(id_col).cast("long")
+    odd = docs.groupBy(own.alias("odd")).count().where("odd is null or count > 1").select("odd", F.lit(True).alias("is_odd"))
+    if odd.isEmpty():
+        gone = find_(docs, id_col, text_col).where("not kept").select(F.col("doc_id").alias(id_col)).distinct()
+        return docs.join(gone, id_col, "left_anti")
+    # rows that no id tells apart are known by a hash of id and text, below all ids
+    text = F.col(f"row.{text_col}").cast("string")
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), own.alias("id")).join(save(odd, "odd-ids"), F.col("id").eqNullSafe(F.col("odd")), "left")
+    hashed = F.xxhash64("id", text).bitwiseOR(F.lit(-(1 << 63)))
+    keyed = keyed.select("row", "id", F.when(F.col("is_odd"), hashed).otherwise(F.col("id")).alias("key"), F.coalesce("is_odd", F.lit(False)).alias("is_odd"))
+    found = save(find_(keyed.select("key", text.alias("text")), "key", "text").select(F.col("doc_id").alias("key"), "component_id", (F.col("n_shingles") > 0).alias("filled")).distinct(), "near-groups")
+    place = F.struct(F.col("id").isNull().alias("none"), "id", "key")
+    first = keyed.select("id", "key").distinct().join(found, "key").groupBy("component_id").agg(F.min(place).alias("first")).select(F.col("first.key").alias("key"))
+    kept = keyed.join(save(first.join(found.select("key", "filled"), "key"), "near-first"), "key")
+    same = kept.where("is_odd and filled").dropDuplicates(["key"])
+    return kept.where("not (is_odd and filled)").unionByName(same).select("row.*")

@@ -292,19 +292,43 @@ def copies(vocabulary, rng):
     return rows
 
 
-@pytest.mark.parametrize("node", [8192, 3])
-def test_near_duplicates_equal_brute_force(spark, vocabulary, node, monkeypatch):
+@pytest.mark.parametrize(("node", "block"), [(256, 2048), (3, 2048), (3, 3)])
+def test_near_duplicates_equal_brute_force(spark, vocabulary, node, block, monkeypatch):
     monkeypatch.setattr(neardup, "NODE", node)
+    monkeypatch.setattr(neardup, "BLOCK", block)
     rows = copies(vocabulary, random.Random(5))
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in neardup.find(documents(spark, rows)).collect()}
     assert got == {i: (n, c, i == c) for i, (n, c) in near_brute(rows).items()}
 
 
+@pytest.mark.parametrize("node", [256, 8])
+def test_near_duplicates_recall(spark, vocabulary, node, monkeypatch):
+    monkeypatch.setattr(neardup, "NODE", node)
+    monkeypatch.setattr(neardup, "BLOCK", max(node, 64))
+    rng = random.Random(19)
+    rows, linked = [], 0
+    for _ in range(500):
+        w = words(vocabulary, 120, rng).split(" ")
+        v = list(w)
+        v[rng.randrange(5, 115)] = "changed"  # five of 116 shingles: a similarity of 0.92
+        if rng.random() < 0.5:
+            v[rng.randrange(0, 3)] = "other"  # and up to three more: 0.87 or so
+        rows += [(len(rows), " ".join(w)), (len(rows) + 1, " ".join(v))]
+        linked += 100 * len(shingles(rows[-1][1]) & shingles(rows[-2][1])) >= 85 * len(shingles(rows[-1][1]) | shingles(rows[-2][1]))
+    got = neardup.find(documents(spark, rows)).where("not kept").count()
+    print(f"recall {got / linked:.4f} of {linked} links, nodes of {node}")
+    assert linked > 400 and got >= 0.99 * linked
+
+
 def test_near_duplicates_odd_input(spark):
     got = [(r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in neardup.find(documents(spark)).collect()]
     assert len(got) == len(ODD) and (None, 1, None, True) in got and (1, 0, 1, True) in got and (2, 0, 2, True) in got and got.count((4, 1, 4, True)) == 2
     kept = neardup.keep_one(documents(spark, [*ODD, (9, "one"), (10, "ONE ")]))
-    assert kept.columns == documents(spark).columns and 9 not in {r["doc_id"] for r in kept.collect()} and kept.count() == len(ODD)
+    assert kept.columns == documents(spark).columns and 9 not in {r["doc_id"] for r in kept.collect()} and kept.count() == len(ODD) - 1  # of the equal rows 4, one
+    plain = "a plain text of some words that stands in several rows"
+    rows = [(None, plain), (None, plain), (3, plain), (3, "quite another text that shares the id of its neighbour"), (5, plain + " "), (None, "only this row has this text and no id"), (None, ""), (None, "")]
+    kept = neardup.keep_one(documents(spark, rows)).collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in kept) == sorted([(3, plain), (3, rows[3][1]), (0, rows[5][1]), (0, ""), (0, "")])
     assert neardup.find(documents(spark).limit(0)).count() == 0
     two = neardup.find(documents(spark, [(1, "a b c d e f g"), (1, "other words stand in this row"), (2, "other words stand in this row")])).collect()
     assert len(two) == 3
@@ -492,6 +516,29 @@ def test_pseudonyms_of_numbers_before_other_groups(value, after):
         assert pseudonyms.reveal(new, key) == text
 
 
+def test_pseudonyms_link_dates_of_all_layouts():
+    permute = pseudonyms.permuter(b"k")
+    for y, m, d in ((2020, 12, 25), (2020, 5, 4), (1999, 1, 31), (2024, 2, 29), (1900, 1, 1), (2099, 12, 31)):
+        name = pseudonyms.MONTHS[m - 1]
+        layouts = [f"{y}-{m:02d}-{d:02d}", f"{d:02d}/{m:02d}/{y}", f"{d} {name} {y}", f"{name} {d}, {y}", f"{d}.{m}.{y}", f"{y}/{m}/{d}"] + ([f"{m:02d}/{d:02d}/{y}", f"{m}/{d}/{y}"] if d > 12 else [])
+        seen = set()
+        for n, x in enumerate(layouts):
+            new, spans = pseudonyms.rewrite(f"on {x}.", permute)
+            assert [s[2] for s in spans] == ["date"]
+            a = re.findall(r"[0-9]+|[A-Z][a-z]+", new[3:])
+            order = {0: (0, 1, 2), 1: (2, 1, 0), 2: (2, 1, 0), 3: (2, 0, 1), 4: (2, 1, 0), 5: (0, 1, 2), 6: (2, 0, 1), 7: (2, 0, 1)}[n]
+            seen.add(tuple(pseudonyms.MONTHS.index(a[i]) + 1 if a[i].isalpha() else int(a[i]) for i in order))
+            if n not in (4, 5, 7):
+                assert pseudonyms.reveal(new, b"k") == f"on {x}."
+        assert len(seen) == 1, (layouts, seen)
+
+
+def test_pseudonyms_of_plain_and_long_phones():
+    for text, value in (("call 5551234567 now", None), ("call 2125551234 now", "2125551234"), ("on +44 20 7946 0958 2020 it", "+44 20 7946 0958"), ("id 1690000000 x", None)):
+        new, spans = pseudonyms.rewrite(text, pseudonyms.permuter(b"k"))
+        assert [text[a:b] for a, b, _ in spans] == ([value] if value else []) and pseudonyms.reveal(new, b"k") == text
+
+
 def test_feistel_is_a_permutation():
     f = pseudonyms.Feistel(b"z")
     for n in (1, 2, 3, 10, 97, 1000):
@@ -529,6 +576,39 @@ def test_token_files_round_trip(spark):
     assert tokenfiles.write(documents(spark).limit(0), path, 2).read().count() == 0
 
 
+def test_token_files_of_several_pieces(spark, monkeypatch):
+    import public_tokenizers
+    from pyarrow import fs as pafs
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rows = [(i, "some words " * (i % 50)) for i in range(400)]
+    want = [tuple(r)[:4] for r in tokenfiles.write(documents(spark, rows), path, 2).read().orderBy("start").collect()]
+    monkeypatch.setattr(tokenfiles, "PART_TOKENS", 500)
+    monkeypatch.setattr(tokenfiles, "READ_TOKENS", 100)
+    monkeypatch.setattr(tokenfiles, "BATCH_CHARS", 1000)
+    made = tokenfiles.write(documents(spark, rows).repartition(3), path, 2)
+    assert made.parts.count() > 20
+    assert [tuple(r)[:4] for r in made.read().orderBy("start").collect()] == want
+    files, root = tokenfiles.open_fs(made.folder)
+    part = made.manifest.orderBy("base").first()
+    stem = tokenfiles._stem(root, part["part"], part["piece"])
+    far = pafs.SubTreeFileSystem("/", files)  # a store that is not local
+    read = lambda store: [b.to_pylist() for b in tokenfiles._read_part(store, stem, made.dtype, 0, 0, 0)]
+    assert read(far) == read(files)
+
+
+def test_pieces_of_one_hash_are_told_apart(monkeypatch):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    e, t = tokenfiles.Encoder(path), Tokenizer.from_file(path)
+    plain = textkernel.Slices.hash
+    monkeypatch.setattr(tokenfiles.Slices, "hash", lambda self, a, b: plain(self, a, b) % np.uint64(3) if self.family == 0 else plain(self, a, b))
+    text = "many different words that all share a few hashes"
+    assert e.encode([text])[0].tolist() == t.encode(text, add_special_tokens=False).ids
+
+
 def test_word_tokenizer_gets_whole_texts():
     import public_tokenizers
     from tokenizers import Tokenizer
