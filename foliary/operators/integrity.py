@@ -9,12 +9,13 @@ from foliary.functions.text import protected, sha256
 
 
 def _escape(json: Column) -> Column:
-    """Control characters as lower-case escapes, as the canonical form has them."""
+    """Control characters as lower-case escapes, as the canonical form has them; most texts have none."""
+    plain = json
     for code in [*range(0x0A, 0x10), *range(0x1A, 0x20)]:
         upper, lower = f"\\u{code:04X}", f"\\u{code:04x}"
         if upper != lower:
             json = F.replace(json, F.lit(upper), F.lit(lower))
-    return json
+    return F.when(plain.rlike(r"\\u00[01]"), json).otherwise(plain)
 
 
 def unit_json(kind: Column, text: Column) -> Column:
@@ -30,9 +31,8 @@ def document_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str
     coded = F.transform("_units", lambda x: unit_json(F.lit("paragraph"), x))
     canonical = F.concat(F.lit("["), F.array_join(coded, ","), F.lit("]"))
     rows = docs.select(F.col(id_col).alias("doc_id"), units.alias("_units")).withColumn("_json", canonical)
-    safe = F.when(F.col("_json").rlike(r"\\u00[01]"), _escape(F.col("_json"))).otherwise(F.col("_json"))
     chars = F.aggregate("_units", F.lit(0).cast("long"), lambda s, x: s + F.char_length(x))
-    return rows.select("doc_id", sha256(safe).alias("fingerprint"), F.size("_units").cast("long").alias("unit_count"), chars.alias("total_chars"))
+    return rows.select("doc_id", sha256(_escape(F.col("_json"))).alias("fingerprint"), F.size("_units").cast("long").alias("unit_count"), chars.alias("total_chars"))
 
 
 def unit_fingerprints(units: DataFrame) -> DataFrame:
@@ -43,7 +43,7 @@ def unit_fingerprints(units: DataFrame) -> DataFrame:
     coded = F.when(F.col("kind") == "media", F.to_json(F.struct(*fields, F.col("sha256")))).otherwise(text) if "sha256" in units.columns else text
     grouped = rows.withColumn("_json", coded).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("seq", "_json"))).alias("_all"), F.count("*").alias("unit_count"), F.sum(F.when(F.col("kind") != "media", F.char_length("_text")).otherwise(0)).alias("total_chars"))
     canonical = F.concat(F.lit("["), F.array_join("_all._json", ","), F.lit("]"))
-    return grouped.select("doc_id", sha256(canonical).alias("fingerprint"), "unit_count", "total_chars")
+    return grouped.select("doc_id", sha256(_escape(canonical)).alias("fingerprint"), "unit_count", "total_chars")
 
 
 def identity_diff(left: DataFrame, right: DataFrame, key: str, digest: str) -> DataFrame:
@@ -56,7 +56,9 @@ def identity_diff(left: DataFrame, right: DataFrame, key: str, digest: str) -> D
 
 def dedup_findings(findings: DataFrame, key: list[str], order: list[str], seq: str = "seq") -> DataFrame:
     """The first of equal findings by ``seq``, ordered and numbered within the document: ``finding_id``."""
-    first = findings.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id", *key).orderBy(seq))).where("_n = 1").drop("_n")
+    rest = [c for c in findings.columns if c not in ("doc_id", *key)]
+    # combined before the shuffle, unlike a rank
+    first = findings.groupBy("doc_id", *key).agg(F.min_by(F.struct(*rest), seq).alias("_x")).select("doc_id", *key, "_x.*").select(*findings.columns)
     number = F.row_number().over(Window.partitionBy("doc_id").orderBy(*order))
     return first.withColumn("finding_id", F.format_string("unsupported-%04d", number))
 

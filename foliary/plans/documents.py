@@ -59,7 +59,7 @@ def q_excerpt(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_normalised_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = text.line_blocks(table(spark, sf_dir, "documents")).withColumn("key", compact(F.col("text")))
-    return rows.groupBy(F.substring("key", 1, 12).alias("key")).agg(F.count("*").alias("uses"))
+    return rows.groupBy("key").agg(F.count("*").alias("uses"))
 
 
 def q_finding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,18 +91,19 @@ def q_unsafe_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_identity_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    left = docs.where("doc_id % 7 <> 0").select("doc_id", F.sha2("text", 256).alias("digest"))
-    right = docs.where("doc_id % 5 <> 0").select("doc_id", F.sha2(F.when(F.col("doc_id") % 11 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")), 256).alias("digest"))
+    # some ids and some texts differ, so that there are added, removed and changed rows
+    left = docs.select(F.when(F.col("doc_id") % 7 == 0, -F.col("doc_id") - 1).otherwise(F.col("doc_id")).alias("doc_id"), F.sha2("text", 256).alias("digest"))
+    right = docs.select("doc_id", F.sha2(F.when(F.col("doc_id") % 11 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")), 256).alias("digest"))
     return integrity.identity_diff(left, right, "doc_id", "digest")
 
 
 QUERIES = [q_blocks, q_fingerprint, q_unit_fingerprint, q_doc_stats, q_page_blocks, q_style_usage, q_format_clusters, q_excerpt, q_normalised_markers, q_finding_dedup, q_finding_summary, q_broken_links, q_unsafe_elements, q_identity_diff]
 
 _LINES = "SELECT doc_id, lang, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS ord FROM documents"
-_TAGS = r"""SELECT page_id, unnest(regexp_extract_all(html, '<(title|h1|h2|h3|p|a|div|footer)[^>]*>([^<]*)', 1)) AS tag,
-  unnest(regexp_extract_all(html, '<(title|h1|h2|h3|p|a|div|footer)[^>]*>([^<]*)', 2)) AS text,
-  generate_subscripts(regexp_extract_all(html, '<(title|h1|h2|h3|p|a|div|footer)[^>]*>([^<]*)', 1), 1) - 1 AS ord FROM pages"""
-_STYLE = "CASE tag WHEN 'title' THEN 'Title' WHEN 'h1' THEN 'heading 1' WHEN 'h2' THEN 'heading 2' WHEN 'h3' THEN 'heading 3' WHEN 'p' THEN 'Normal' WHEN 'a' THEN 'toc 1' ELSE tag END"
+_TAGS = r"""SELECT page_id, tag, text, row_number() OVER (PARTITION BY page_id ORDER BY place) - 1 AS ord FROM (
+  SELECT page_id, place, lower(regexp_extract(piece, '^([A-Za-z][A-Za-z0-9]*)', 1)) AS tag, CASE WHEN contains(piece, '>') THEN substr(piece, strpos(piece, '>') + 1) END AS text
+  FROM (SELECT page_id, unnest(string_split(html, '<')) AS piece, generate_subscripts(string_split(html, '<'), 1) AS place FROM pages) WHERE place > 1) WHERE text IS NOT NULL AND tag IN ('title', 'h1', 'h2', 'h3', 'p', 'li', 'a', 'div', 'footer')"""
+_STYLE = "CASE tag WHEN 'title' THEN 'Title' WHEN 'h1' THEN 'heading 1' WHEN 'h2' THEN 'heading 2' WHEN 'h3' THEN 'heading 3' WHEN 'p' THEN 'Normal' WHEN 'li' THEN 'List' WHEN 'a' THEN 'toc 1' ELSE tag END"
 _PRINT = """'[' || array_to_string(list_transform(list_filter(string_split(text, chr(10)), lambda x: x <> ''),
   lambda x: '{"kind":"paragraph","text":' || to_json(x) || '}'), ',') || ']'"""
 
@@ -126,5 +127,5 @@ ORACLES = {
       JOIN (VALUES ('script', 'active_content', 'error', 'block_formatting'), ('style', 'style_sheet', 'warning', 'manual_review'), ('iframe', 'embedded_object', 'error', 'block_formatting'), ('nav', 'navigation', 'info', 'none')) AS c(suffix, category, severity, policy)
       ON ends_with(element, suffix) GROUP BY ALL""",
     "q_identity_diff": """SELECT doc_id, a AS left_digest, b AS right_digest, CASE WHEN a IS NULL THEN 'added' WHEN b IS NULL THEN 'removed' ELSE 'changed' END AS change
-      FROM (SELECT doc_id, sha256(text) AS a FROM documents WHERE doc_id % 7 <> 0) FULL JOIN (SELECT doc_id, sha256(CASE WHEN doc_id % 11 = 0 THEN text || '!' ELSE text END) AS b FROM documents WHERE doc_id % 5 <> 0) USING (doc_id) WHERE a IS DISTINCT FROM b""",
+      FROM (SELECT CASE WHEN doc_id % 7 = 0 THEN -doc_id - 1 ELSE doc_id END AS doc_id, sha256(text) AS a FROM documents) FULL JOIN (SELECT doc_id, sha256(CASE WHEN doc_id % 11 = 0 THEN text || '!' ELSE text END) AS b FROM documents) USING (doc_id) WHERE a IS DISTINCT FROM b""",
 }

@@ -110,7 +110,7 @@ def q_review_guide(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_job_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("event_type")
-    e = table(spark, sf_dir, "events").where("event_id % 50 < 3").select(F.col("user_id").alias("job_id"), F.col("event_id").alias("seq"), F.when((k == "error") & (F.col("event_id") % 100 == 0), "failed").when(k == "view", "analyzed").when(k == "click", "formatted").when(k == "purchase", "validated").otherwise("created").alias("event"))
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("job_id"), F.col("event_id").alias("seq"), F.when((k == "error") & (F.col("event_id") % 100 == 0), "failed").when(k == "view", "analyzed").when(k == "click", "formatted").when(k == "purchase", "validated").otherwise("created").alias("event"))
     return jobs.job_states(e)
 
 
@@ -173,7 +173,7 @@ ORACLES = {
     "q_diagnosis_summary": f"""WITH {_ROLES}, {_OBS}, b AS (SELECT doc_id, count(*) AS blocks, count(*) FILTER (review) AS review_count FROM s GROUP BY doc_id), n AS (SELECT l_orderkey % 250 AS doc_id, status, count(*) AS n FROM c GROUP BY 1, 2),
       p AS (SELECT doc_id, string_agg(status || '=' || n, ';' ORDER BY status) AS status_counts FROM n GROUP BY doc_id) SELECT b.doc_id, blocks, review_count, status_counts FROM b LEFT JOIN p ON p.doc_id = b.doc_id""",
     "q_review_guide": """SELECT DISTINCT doc_id, category FROM (SELECT l_orderkey AS doc_id, CASE l_returnflag WHEN 'R' THEN 'table_pagination' WHEN 'A' THEN 'figure_pagination' ELSE 'section_page_numbering' END AS category FROM lineitem UNION ALL SELECT l_orderkey, 'final_layout' FROM lineitem)""",
-    "q_job_states": """WITH e AS (SELECT user_id AS job_id, event_id AS seq, CASE WHEN event_type = 'error' AND event_id % 100 = 0 THEN 'failed' WHEN event_type = 'view' THEN 'analyzed' WHEN event_type = 'click' THEN 'formatted' WHEN event_type = 'purchase' THEN 'validated' ELSE 'created' END AS event FROM events WHERE event_id % 50 < 3),
+    "q_job_states": """WITH e AS (SELECT user_id AS job_id, event_id AS seq, CASE WHEN event_type = 'error' AND event_id % 100 = 0 THEN 'failed' WHEN event_type = 'view' THEN 'analyzed' WHEN event_type = 'click' THEN 'formatted' WHEN event_type = 'purchase' THEN 'validated' ELSE 'created' END AS event FROM events),
       l AS (SELECT job_id, arg_max(event, seq) AS event, max(seq) AS seq, bool_or(event = 'failed') AS bad FROM e GROUP BY job_id) SELECT job_id, CASE WHEN bad THEN 'failed' WHEN event = 'validated' THEN 'completed' WHEN event IN ('analyzed', 'formatted') THEN 'awaiting_confirmation' ELSE 'analyzing' END AS state, seq FROM l""",
     "q_artifacts": "SELECT user_id AS job_id, event_type AS kind, 'a/' || arg_max(event_id, event_id) AS path, sha256(arg_max(props, event_id)) AS sha256 FROM events GROUP BY 1, 2",
     "q_intake": """SELECT path, path[4:] AS name, code IS NULL AS accepted, code AS reject_code FROM (SELECT 'in/' || o_orderkey || CASE WHEN o_orderkey % 9 = 0 THEN '.pdf' ELSE '.docx' END AS path,
