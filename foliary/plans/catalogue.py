@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliary.plans import conformance, documents, reviews, structure
+from foliary.plans import conformance, documents, packages, reviews, structure
 
 Query = Callable[[SparkSession, str], DataFrame]
-GROUPS = (documents, structure, conformance, reviews)
+GROUPS = (documents, structure, conformance, reviews, packages)
 
 
 def queries() -> dict[str, Query]:

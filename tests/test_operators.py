@@ -157,7 +157,7 @@ def test_docx_findings_toc_fields_and_fingerprints(spark):
     inside = {r["block_id"]: r["in_toc_field"] for r in docx.blocks(p).where("doc_id = 'd0'").collect()}
     assert [inside[f"p-{i:04d}"] for i in range(5)] == [False, True, True, True, False]
     found = {r["category"] for r in docx.findings(p).collect()}
-    assert found == {"tracked_changes", "chart", "broken_relationship", "external_relationship", "unsafe_relationship", "macro"}
+    assert found == {"tracked_changes", "chart", "broken_relationship", "external_relationship", "unsafe_relationship_target", "macro"}
     prints = {r["doc_id"]: (r["fingerprint"], r["unit_count"]) for r in integrity.unit_fingerprints(docx.fingerprint_units(p)).collect()}
     assert prints["d1"] == prints["d3"] != prints["d2"] and prints["d0"][1] >= 5
     assert docx.scan(p, "sections").where("section = 0").first()["width"] == 11906
