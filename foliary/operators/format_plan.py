@@ -25,9 +25,9 @@ def desired_borders(cells: DataFrame) -> DataFrame:
     last = cells.groupBy("doc_id", "table_index").agg(F.max("row_index").alias("_last"))
     rows = cells.select("doc_id", "table_index", "row_index", "cell_index").distinct().join(last, ["doc_id", "table_index"])
     row = F.col("row_index")
-    top = F.when(row == 0, F.lit(TOP)).when(row == 1, F.lit(HEADER)).otherwise(0.0)
+    top = F.when(row == 0, F.lit(TOP)).otherwise(0.0)
     bottom = F.when(row == F.col("_last"), F.lit(BOTTOM)).when(row == 0, F.lit(HEADER)).otherwise(0.0)
-    edges = F.array(*[F.struct(F.lit(e).alias("edge"), F.bround(w * 8).cast("int").alias("eighths")) for e, w in (("top", top), ("bottom", bottom), ("left", F.lit(0.0)), ("right", F.lit(0.0)))])
+    edges = F.array(*[F.struct(F.lit(e).alias("edge"), F.bround(w * 8).cast("int").alias("eighths")) for e, w in (("top", top), ("bottom", bottom), *((e, F.lit(0.0)) for e in ("left", "right", "start", "end", "insideV")))])
     return rows.where("_last >= 1").select("doc_id", "table_index", "row_index", "cell_index", F.explode(edges).alias("x")).select("doc_id", "table_index", "row_index", "cell_index", "x.*")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliary.schemas import ROLE_SCOPES
+from foliary.schemas import ROLE_SCOPES, ROLES
 
 BLOCKERS = ("model_abstained", "model_confidence_below_threshold", "rules_role_unresolved", "model_role_unresolved", "role_disagreement", "scope_unresolved", "scope_disagreement")
 
@@ -93,6 +93,55 @@ def adjudicate(packets: DataFrame, proposals: DataFrame, key: list[str], thresho
     return rows.select(*key, "outcome", "reasons", "selected_role", "selected_scope", F.col("_rs").alias("rules_scope"), F.col("_ms").alias("model_scope"))
 
 
+def adjudication_counts(decisions: DataFrame) -> DataFrame:
+    """targets, auto_accept, manual_review."""
+    n = lambda x: F.count_if(F.col("outcome") == x).alias(x)
+    return decisions.agg(F.count("*").alias("targets"), n("auto_accept"), n("manual_review"))
+
+
+def review_targets(decisions: DataFrame, mode: str) -> DataFrame:
+    """The blocks that a plan asks about: review roots with what rules say of them, or all top blocks without it."""
+    from foliary.operators.classify import review_roots
+
+    if mode == "hybrid":
+        roots = review_roots(decisions).select("doc_id", "block_id")
+        return decisions.join(roots, ["doc_id", "block_id"], "left_semi")
+    if mode != "prompt_only":
+        raise ValueError("ai_mode_mismatch")
+    return decisions.where("container_id is null").withColumns({c: F.lit(None).cast("string") for c in ("role", "scope")})
+
+
+def packets(targets: DataFrame, excerpts: DataFrame, mode: str) -> DataFrame:
+    """A packet per target that can be asked about, its context nested in reading order: packet_id, doc_id, target,
+    text_sha256, allowed_roles, allowed_scopes, rules_role, rules_scope, context, context_ids.
+
+    ``targets``: doc_id, ord, block_id, kind, text, text_sha256, role, scope, unsupported; ``excerpts``: doc_id, ord,
+    context_ord, context_id, reason, excerpt, truncated. A target's context is bounded by the window's size.
+    """
+    asked = review_plan(targets).where("skip_reason is null")
+    one = F.struct("context_ord", F.col("context_id").alias("block_id"), "reason", "excerpt", "truncated")
+    near = excerpts.groupBy("doc_id", "ord").agg(F.sort_array(F.collect_list(one)).alias("context"))
+    table = F.col("kind") == "table"
+    tables = ["table", "abbreviation_table", "unknown"]
+    roles = F.when(table, F.array(*map(F.lit, tables))).when(F.col("kind") == "table_cell", F.array(F.lit("table_text"), F.lit("unknown"))).otherwise(F.array(*[F.lit(r) for r in ROLES if r not in (*tables, "table_text", "figure")], F.lit("unknown")))
+    allowed = F.create_map(*[x for r, s in ROLE_SCOPES.items() for x in (F.lit(r), F.array(*map(F.lit, s)))])
+    scopes = F.array_distinct(F.flatten(F.transform("allowed_roles", lambda r: F.coalesce(allowed[r], F.array().cast("array<string>")))))
+    rows = asked.join(near, ["doc_id", "ord"], "left").withColumn("allowed_roles", roles).withColumn("allowed_scopes", scopes)
+    context = F.coalesce("context", F.array().cast("array<struct<context_ord:long,block_id:string,reason:string,excerpt:string,truncated:boolean>>"))
+    rows = rows.withColumn("context", context)
+    ids = F.array_distinct(F.concat(F.array("block_id"), F.transform("context", lambda c: c["block_id"])))
+    return rows.select(F.concat_ws("-", F.lit(mode), "block_id").alias("packet_id"), "doc_id", F.col("block_id").alias("target"), "text_sha256", "allowed_roles", "allowed_scopes", F.col("role").alias("rules_role"), F.col("scope").alias("rules_scope"), "context", ids.alias("context_ids"))
+
+
+def plan_totals(targets: DataFrame, made: DataFrame) -> DataFrame:
+    """candidates, packets, skipped, context_characters of a plan, by document."""
+    asked = targets.groupBy("doc_id").agg(F.count("*").alias("candidates"))
+    size = F.aggregate("context", F.lit(0).cast("long"), lambda s, c: s + F.char_length(c["excerpt"]))
+    sent = made.groupBy("doc_id").agg(F.count("*").alias("packets"), F.sum(size).alias("context_characters"))
+    rows = asked.join(sent, "doc_id", "left").na.fill(0, ["packets", "context_characters"])
+    return rows.withColumn("skipped", F.col("candidates") - F.col("packets"))
+
+
 def run_totals(calls: DataFrame, by: list[str]) -> DataFrame:
     """Totals of a model run from calls (by, ok, input_tokens, output_tokens, total_tokens or null, elapsed_ms, cost or null)."""
     done = F.count_if("ok")

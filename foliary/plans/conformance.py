@@ -178,7 +178,7 @@ ORACLES = {
     "q_rule_recheck": f"WITH {_OBS} SELECT rule_id, count(*) AS results, count(*) FILTER (status = 'pass') AS passes, count(*) FILTER (status = 'fail') AS fails, count(*) FILTER (status NOT IN ('pass', 'fail')) AS unresolved, bool_and(status = 'pass') AS passed FROM c GROUP BY rule_id",
     "q_delivery_gate": "SELECT content_preserved, report_matches, content_preserved AND report_matches AND safe AND units > 0 AND ok AS deliverable, count(*) AS documents FROM (SELECT o_orderstatus <> 'P' AS content_preserved, o_orderkey % 7 > 0 AS report_matches, o_totalprice > 1000 AS safe, o_custkey % 5 AS units, o_orderpriority NOT LIKE '1%' AS ok FROM orders) GROUP BY ALL",
     "q_border_plan": """WITH c AS (SELECT l_orderkey AS doc_id, l_linenumber - 1 AS row_index, max(CASE WHEN l_returnflag = 'A' THEN 12 ELSE 0 END) AS have, max(max(l_linenumber) - 1) OVER (PARTITION BY l_orderkey) AS final FROM lineitem GROUP BY 1, 2),
-      d AS (SELECT doc_id, row_index, have, unnest(['top', 'bottom', 'left', 'right']) AS edge, unnest([CASE row_index WHEN 0 THEN 12 WHEN 1 THEN 8 ELSE 0 END, CASE WHEN row_index = final THEN 12 WHEN row_index = 0 THEN 8 ELSE 0 END, 0, 0]) AS want FROM c WHERE final >= 1)
+      d AS (SELECT doc_id, row_index, have, unnest(['top', 'bottom', 'left', 'right']) AS edge, unnest([CASE row_index WHEN 0 THEN 12 ELSE 0 END, CASE WHEN row_index = final THEN 12 WHEN row_index = 0 THEN 8 ELSE 0 END, 0, 0]) AS want FROM c WHERE final >= 1)
       SELECT doc_id, 0 AS table_index, row_index, 0 AS cell_index, edge, CASE WHEN edge = 'top' THEN have END AS from_eighths, want AS to_eighths FROM d WHERE coalesce(CASE WHEN edge = 'top' THEN have END, 0) <> want""",
     "q_table_pattern": f"""WITH b AS (SELECT *, max(CASE WHEN scope = 'cell' THEN row_index END) OVER (PARTITION BY doc_id, table_index) AS final, size > 0 AND line_style NOT IN ('nil', 'none') AS ink, CASE scope WHEN 'cell' THEN 1 WHEN 'table' THEN 2 ELSE 3 END AS rank FROM {BORDERS}),
       e AS (SELECT doc_id, table_index, rank, size / 8.0 AS w, unnest(list_filter([CASE WHEN edge = 'top' AND (scope <> 'cell' OR row_index = 0) THEN 'top' END, CASE WHEN (scope <> 'cell' AND edge = 'insideH') OR (scope = 'cell' AND ((row_index = 0 AND edge = 'bottom') OR (row_index = 1 AND edge = 'top'))) THEN 'header' END, CASE WHEN edge = 'bottom' AND (scope <> 'cell' OR row_index = final) THEN 'bottom' END], lambda x: x IS NOT NULL)) AS part FROM b WHERE ink),

@@ -113,9 +113,9 @@ def test_format_plan(spark):
         format_plan.eligible(tables, approved, ["a"], blocked)
     cells = spark.createDataFrame([(1, 0, 0, 0), (1, 0, 1, 0)], "doc_id long, table_index int, row_index int, cell_index int")
     want = {(r["row_index"], r["edge"]): r["eighths"] for r in format_plan.desired_borders(cells).collect()}
-    assert want[0, "top"] == 12 and want[0, "bottom"] == 8 and want[1, "top"] == 8 and want[1, "bottom"] == 12 and want[0, "left"] == 0
+    assert want[0, "top"] == 12 and want[0, "bottom"] == 8 and want[1, "top"] == 0 and want[1, "bottom"] == 12 and want[0, "left"] == 0
     none = cells.limit(0).selectExpr("*", "'' as edge", "0 as eighths")
-    assert format_plan.border_operations(format_plan.desired_borders(cells), none).count() == 4
+    assert format_plan.border_operations(format_plan.desired_borders(cells), none).count() == 3
 
 
 def packages(spark, *contents):
