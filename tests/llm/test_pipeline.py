@@ -25,6 +25,32 @@ def test_stages(spark):
     assert {r["doc_id"] for r in tokens.collect()} == {r["doc_id"] for r in docs.collect()}
 
 
+def test_run_equals_its_stages(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = save(stage(spark, docs, SF), "test-run")
+    want = {r["doc_id"] for r in docs.collect()}
+    got = corpus_pipeline.run(spark, SF).orderBy("start").collect()
+    assert [r["doc_id"] for r in got] == sorted(want) and got[0]["start"] == 0
+    assert all(b["start"] == a["start"] + a["n_tokens"] for a, b in zip(got, got[1:], strict=False))
+    assert corpus_pipeline.ORACLE_SQL is None
+
+
+def test_stages_on_odd_rows(spark):
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").first()["text"]
+    rows = [(i, t, "en", "s", 1, "x", 1.0, 2.0) for i, t in [(None, "no id but some words here"), (None, item), (1, None), (2, ""), (3, "equal rows of a text"), (3, "equal rows of a text"), (4, f"before {item} after"), (4, "a clean row that shares its id"), (5, "word " * 50000)]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, rate string, kept double, predicted double")
+    left = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = save(stage(spark, docs, SF), "odd")
+        assert kept.columns == docs.columns and stage(spark, docs.limit(0), SF).count() == 0
+        left[name] = sorted((r["doc_id"] or 0, (r["text"] or "")[:20]) for r in kept.collect())
+        docs = kept
+    assert (0, item[:20]) not in left["decontamination"] and not any(t.startswith("before") for _, t in left["decontamination"])
+    assert (0, "no id but some words") in left["decontamination"] and (4, "a clean row that sha") in left["decontamination"] and left["near-duplicates"].count((3, "equal rows of a text")) == 1
+    assert corpus_pipeline.token_files(spark, docs, SF).count() == docs.count()
+
+
 def test_names():
     names = list(queries.queries())
     assert [n.split("_")[0] for n in names] == [*(f"op{i}" for i in range(1, 11)), "pipeline"]
