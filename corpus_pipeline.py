@@ -1,6 +1,13 @@
 """The corpus pipeline: toxicity, near-duplicates, benchmark leaks, mixing, token files.
 
 Each stage takes (spark, docs, sf_dir) and returns a table; the next one reads what it wrote.
+
+Defined cases, of every stage: a row is judged by its own text, also if its id is null or not its alone. A null or empty
+text is not toxic, has no near copy and holds no benchmark item; it is mixed in at the overall share, and is the end id
+alone in the token files. Of rows that are near copies of each other one stays, that of the least id, one without an id
+only if no other has one; of equal rows one. Very long texts are taken whole. Without labels nothing is toxic, without a
+benchmark nothing leaks. An empty table stays empty. Further columns of documents, whatever their names, are carried
+through by all stages but the last, which returns places in token files.
 """
 
 from __future__ import annotations
