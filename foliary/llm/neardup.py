@@ -2,7 +2,7 @@
 
 A document is the set of its distinct word shingles (A-Z lowered; words are what white space, U+0020 and U+0009-U+000D,
 separates). Documents with equal sets form a class, and one of them stands for it. The classes then go through
-independent trees: the root deals them out by one minwise value of their set, and a node that is still large branches
+independent trees: the root deals them out by the one shingle of their set that is least in the tree's order, and a node that is still large branches
 again by minwise values at two positions that the node's own path chooses. Small nodes are compared exhaustively: a
 sketch of minwise values passes pairs that may be similar, and full sets decide. After the first tree, and again at the
 end, linked classes become components; a node whose members are all of one component already has nothing to add and is
@@ -14,7 +14,7 @@ every other member meets every block, so that no pair of different components is
 node.
 
 Two sets of similarity 0.85 meet in a given small root node with probability 0.85; over 8 trees all miss with probability
-3e-7. Where every node must branch to the last depth a tree brings them together with probability 0.82, and all miss with
+3e-7. Where every node must branch to the last depth a tree brings them together with probability 0.83, and all miss with
 probability 1e-6.
 
 Defined cases: a text that is null or has no words has the empty set and is linked with nothing; with fewer words than a
@@ -43,9 +43,9 @@ SHINGLE = 5
 PERCENT = 85
 TREES = 8
 BRANCHES = 2
-DEPTH = 3
+DEPTH = 2
 #: Members of a node that does not branch any more; of the last depth's nodes, how many one task compares, and hubs of a larger one.
-NODE = 256
+NODE = 1024
 BLOCK = 2048
 HUBS = 4
 #: Minwise values of 16 bits in a sketch; an estimate below SKETCH_LEAST is over four deviations from 0.85.
@@ -74,14 +74,19 @@ def shingle_sets(texts: list[str | None], k: int = SHINGLE) -> Iterator[np.ndarr
                 yield np.zeros(0, dtype=U)
 
 
-def minwise(shingles: np.ndarray) -> np.ndarray:
-    """LANES minwise values of a set that isn't empty; the first TREES of them are the trees' roots."""
+def minwise(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """LANES minwise values of a set that isn't empty, and the shingles of the first TREES: the trees' roots.
+
+    A root is the whole shingle, as the least values of long texts are so small that unrelated ones would often agree.
+    """
     low = (shingles ^ (shingles >> U(32))).astype(np.uint32)
-    best = None
+    best = roots = None
     for at in range(0, len(low), 1 << 14):
-        x = ((low[None, at : at + (1 << 14)] ^ _XOR) * _MUL).min(axis=1)
-        best = x if best is None else np.minimum(best, x)
-    return best
+        x = (low[None, at : at + (1 << 14)] ^ _XOR) * _MUL
+        least, own = x.min(axis=1), shingles[at + x[:TREES].argmin(axis=1)]
+        roots = own if best is None else np.where(least[:TREES] < best[:TREES], own, roots)
+        best = least if best is None else np.minimum(best, least)
+    return best, roots
 
 
 def sketch(values: np.ndarray) -> np.ndarray:
@@ -101,8 +106,8 @@ def _sketches(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBa
             x, y = _sums(s)
             low.append(x)
             high.append(y)
-            values = minwise(s) if len(s) else None
-            roots.append(None if values is None else values[:TREES].tobytes())
+            values, own = minwise(s) if len(s) else (None, None)
+            roots.append(None if own is None else own.tobytes())
             sig.append(None if values is None else sketch(values).tobytes())
         columns = [batch["id"], *(pa.array(x, pa.int64()) for x in (n, low, high)), pa.array(roots, pa.binary()), pa.array(sig, pa.binary())]
         yield pa.RecordBatch.from_arrays(columns, ["id", "n", "low", "high", "roots", "sig"])
@@ -178,7 +183,7 @@ def _confirm(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
         ids, comp, n, side = _sides(g)
         comp = comp.copy()
         sets = [np.frombuffer(s, dtype=U) for s in g["shingles"].to_pylist()]
-        sigs = np.stack([sketch(minwise(s)) for s in sets])
+        sigs = np.stack([sketch(minwise(s)[0]) for s in sets])
         for i in range(len(ids) - 1):
             for j in _near(sigs, comp, n, side, i, percent).tolist():
                 if comp[i] == comp[j]:
@@ -195,7 +200,7 @@ def _confirm(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
 
 
 def _root(tree: int) -> Column:
-    return F.xxhash64(F.lit(tree), F.substring("roots", 4 * tree + 1, 4))
+    return F.xxhash64(F.lit(tree), F.substring("roots", 8 * tree + 1, 8))
 
 
 def _branch(number: int) -> Column:
