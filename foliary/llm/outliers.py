@@ -9,8 +9,8 @@ sign covariance around the medians, and the classical estimate. A step takes the
 lie nearest, and estimates anew from them; steps go on until no determinant falls any more, and of a group's three
 results the one of the least determinant stands. A step is one aggregation to a bounded number of distance bins a group,
 and the starts come from bins of values, so that no group, however large, comes together in one task. Vectors are rounded
-to 1 / GRID and summed as integers, so results do not depend on the order of rows. A variance below a feature's least
-spread counts as that spread.
+to 1 / GRID and summed as integers, so results do not depend on the order of rows. A variance below the least
+spread of the features, in any direction, counts as that spread.
 
 A group's estimate is drawn towards that of its language, and that towards the estimate over all rows, by PRIOR
 equivalent rows and with the gap between their centres added to the scatter: there is no least size of a group, and a
@@ -141,8 +141,9 @@ def chi2_quantile(p: float, d: int) -> float:
 
 
 def _floored(scatter: np.ndarray) -> np.ndarray:
-    """The scatter with no variance below its feature's least spread."""
-    return scatter + np.diag(np.maximum(0, LEAST_SPREAD**2 - np.diag(scatter)))
+    """The scatter with no variance, in any direction, below the features' least spread: a few rows span no more than a plane."""
+    values, axes = np.linalg.eigh(scatter / np.outer(LEAST_SPREAD, LEAST_SPREAD))
+    return (axes * np.maximum(values, 1.0)) @ axes.T * np.outer(LEAST_SPREAD, LEAST_SPREAD)
 
 
 def _row(g: str, start: str, rows: int, centre: np.ndarray, scatter: np.ndarray) -> list:

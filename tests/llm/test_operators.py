@@ -481,6 +481,13 @@ def test_mcd_equals_one_in_memory(spark):
         assert np.abs(got - 2).max() < 0.15  # whatever is mixed in
 
 
+def test_groups_of_a_few_rows(spark, vocabulary):
+    rng = random.Random(20)
+    rows = [(i, words(vocabulary, 60, rng) + " !?" * (i % 7) + "\n#" * (i % 5), "en", f"s{min(i // 2, i % 11)}") for i in range(60)]
+    got = outliers.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    assert len(got) == 60 and all(r["distance"] is not None for r in got)
+
+
 def test_small_sources_are_judged_alike(spark, vocabulary):
     """A source of its own kind keeps about as large a share of its rows, however many there are."""
     rng = random.Random(18)
