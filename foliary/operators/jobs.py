@@ -25,11 +25,22 @@ def top_issues(checks: DataFrame, partition: list[str], seq: str, most: int = IS
     return issues.withColumn("rank", rank).where(F.col("rank") <= most).join(total, partition).withColumn("truncated", F.col("issues") > most)
 
 
-def diagnosis(decisions: DataFrame, checks: DataFrame) -> DataFrame:
-    """A row per document: roles and statuses counted, and what needs review."""
+def diagnosis(decisions: DataFrame, checks: DataFrame, issues: DataFrame | None = None) -> DataFrame:
+    """A row per document: roles and statuses counted, what needs review, and the first issues that ``top_issues`` gives."""
     tally = lambda df, c: df.groupBy("doc_id", c).count().groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", c, "count"))), ";").alias(f"{c}_counts"))
     base = decisions.groupBy("doc_id").agg(F.count("*").alias("blocks"), F.count_if("review").alias("review_count"))
-    return base.join(tally(decisions, "role"), "doc_id", "left").join(tally(checks, "status"), "doc_id", "left")
+    out = base.join(tally(decisions, "role"), "doc_id", "left").join(tally(checks, "status"), "doc_id", "left")
+    if issues is None:
+        return out
+    first = issues.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("rank", "rule_id", "status"))).alias("top_issues"), F.max("issues").alias("issues"), F.max("truncated").alias("truncated"))
+    return out.join(first, "doc_id", "left")
+
+
+def results_once(requests: DataFrame) -> DataFrame:
+    """Requests (job_id, request, seq, result) with the result of the first equal one, and whether a request repeats it."""
+    first = requests.groupBy("job_id", "request").agg(F.min_by("result", "seq").alias("_result"), F.min("seq").alias("_first"))
+    rows = requests.join(first, ["job_id", "request"])
+    return rows.select("job_id", "request", "seq", F.col("_result").alias("result"), (F.col("seq") > F.col("_first")).alias("repeated"))
 
 
 def latest_artifacts(artifacts: DataFrame) -> DataFrame:

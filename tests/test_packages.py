@@ -258,6 +258,27 @@ def test_samples(spark):
         formats.sample_checks(samples.withColumn("index", F.lit(9)), located_rules(spark), seen, places)
 
 
+def test_statistics_reports_and_overrides(spark):
+    from foliary.operators import classify, jobs
+
+    parts = {"word/comments.xml": f'<w:comments xmlns:w="{W}"><w:comment><w:p><w:r><w:t>c</w:t></w:r></w:p></w:comment></w:comments>', "word/media/i.png": "x"}
+    p = packages(spark, docx.build([("a", "Heading1"), ("", None)], [["b", "c"]], parts=parts), b"no package")
+    conflicts = spark.createDataFrame([("d0", "t", "conflicting_equal_authority_evidence")], "doc_id string, target string, reason string")
+    got = {r["doc_id"]: r for r in formats.evidence_report(p, conflicts).collect()}
+    assert (got["d0"]["paragraphs"], got["d0"]["empty_paragraphs"], got["d0"]["cells"], got["d0"]["characters"], got["d0"]["comments"], got["d0"]["media"]) == (2, 1, 2, 3, 1, 1)
+    assert got["d0"]["patterns"][0]["pattern"] == "borderless" and got["d0"]["conflicts"] == ["t:conflicting_equal_authority_evidence"] and got["d1"]["error"] == "invalid_zip" and got["d1"]["paragraphs"] is None
+    blocks = docx.blocks(p)
+    given = spark.createDataFrame([("h", "p-0001", "body", "body")], "input_sha256 string, block_id string, role string, scope string")
+    assert {r["block_id"]: r["role"] for r in classify.classify(classify.with_overrides(blocks, given, "h")).collect()}["p-0001"] == "body"
+    with pytest.raises(ValueError, match="stale_overrides"):
+        classify.with_overrides(blocks, given, "other")
+    asked = spark.createDataFrame([("j", "r", 1, "x"), ("j", "r", 2, "y"), ("j", "s", 3, "z")], "job_id string, request string, seq int, result string")
+    assert sorted((r["seq"], r["result"], r["repeated"]) for r in jobs.results_once(asked).collect()) == [(1, "x", False), (2, "x", True), (3, "z", False)]
+    checks = spark.createDataFrame([("d0", i, "r", "fail") for i in range(3)], "doc_id string, seq int, rule_id string, status string")
+    found = jobs.diagnosis(classify.classify(blocks), checks, jobs.top_issues(checks, ["doc_id"], "seq", 2)).first()
+    assert len(found["top_issues"]) == 2 and found["issues"] == 3 and found["truncated"] and found["status_counts"] == "fail=3"
+
+
 def test_sinks_and_reports(spark, tmp_path):
     sinks.write_json(tmp_path / "a/b.json", {"z": 1, "a": [2, "é"]})
     assert (tmp_path / "a/b.json").read_bytes() == '{\n  "a": [\n    2,\n    "é"\n  ],\n  "z": 1\n}\n'.encode() and [p.name for p in (tmp_path / "a").iterdir()] == ["b.json"]
