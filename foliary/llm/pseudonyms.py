@@ -220,7 +220,7 @@ KINDS: tuple[tuple[str, str, Callable[[str, Permute], str | None]], ...] = (
     ("date", rf"\b(?:[0-9]{{1,2}} (?:{_MONTH}) (?:19|20)[0-9]{{2}}|(?:{_MONTH}) [0-9]{{1,2}},? (?:19|20)[0-9]{{2}})\b", _named_date),
     ("ssn", r"(?<![\w.-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])", _ssn),
     ("ip", r"(?<![\w.-])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9]|[\w-])", _ip),
-    ("phone", r"(?<![\w.])(?:\+1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![\w-])|(?<![\w.])\+[0-9]{1,3}(?:[ .-]?\(?[0-9]{1,5}\)?){2,6}(?![\w-])|(?<![\w.+-])[2-9][0-9]{2}[2-9][0-9]{6}(?![\w-]|\.[0-9])", _phone),
+    ("phone", r"(?<![\w.])(?:\+1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![\w-])|(?<![\w.])\+[0-9]{1,3}(?:[ .-]?(?:\([0-9]{1,5}\)|[0-9]{1,5})){2,6}(?![\w-])|(?<![\w.+-])[2-9][0-9]{2}[2-9][0-9]{6}(?![\w-]|\.[0-9])", _phone),
     ("card", r"(?<![\w.+-])[0-9](?:[ -]?[0-9]){12,18}(?![\w-])", _card),
 )
 #: Kinds whose numbers are written in groups, so that a match may take in groups that follow the number.
