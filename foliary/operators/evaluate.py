@@ -10,15 +10,18 @@ def ratio(a: Column, b: Column) -> Column:
     return F.when(b != 0, a / b)
 
 
-def evaluate(gold: DataFrame, predictions: DataFrame, key: list[str]) -> DataFrame:
+def evaluate(gold: DataFrame, predictions: DataFrame, key: list[str], systems: list[str] | None = None) -> DataFrame:
     """Metrics per system from confirmed gold (key, expected_role, expected_scope) and predictions (system, key, role, scope, abstained).
 
-    A missing prediction counts as an abstention of every system that made any; ratios without a denominator are null.
+    A missing prediction counts as an abstention of every system that made any, or of those that are named (which spares
+    reading the predictions for their names); ratios without a denominator are null.
     """
-    systems = predictions.select("system").distinct()
     # each gold row is repeated once for every system, of which there are a few; no pair of rows is formed beyond that
-    names = systems.agg(F.sort_array(F.collect_set("system")).alias("names"))
-    asked = gold.join(F.broadcast(names)).withColumn("system", F.explode("names")).drop("names")
+    if systems:
+        asked = gold.withColumn("system", F.explode(F.array(*map(F.lit, systems))))
+    else:
+        names = predictions.agg(F.sort_array(F.collect_set("system")).alias("names"))
+        asked = gold.join(F.broadcast(names)).withColumn("system", F.explode("names")).drop("names")
     rows = asked.join(predictions, ["system", *key], "left")
     silent = F.col("role").isNull() | F.coalesce("abstained", F.lit(True))
     right = ~silent & F.coalesce(F.col("role") == F.col("expected_role"), F.lit(False))

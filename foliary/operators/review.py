@@ -66,11 +66,12 @@ def unique_scope(role: Column, scope: Column) -> Column:
     return F.coalesce(scope, single[role])
 
 
-def adjudicate(packets: DataFrame, proposals: DataFrame, key: list[str], threshold: float = 0.9) -> DataFrame:
+def adjudicate(packets: DataFrame, proposals: DataFrame, key: list[str], threshold: float = 0.9, given: bool = False) -> DataFrame:
     """Rules against model: accepted only where nothing speaks against it.
 
     ``packets``: (key, rules_role, rules_scope); ``proposals``: (key, model_role, model_scope, confidence, abstained).
-    Adds outcome, reasons, selected_role, selected_scope.
+    Adds outcome, reasons, selected_role, selected_scope; with ``given`` also what both said, as a struct, so that it need
+    not be joined again.
     """
     if not 0 <= threshold <= 1:
         raise ValueError("the threshold must be between 0 and 1")
@@ -90,7 +91,8 @@ def adjudicate(packets: DataFrame, proposals: DataFrame, key: list[str], thresho
     rows = rows.withColumn("outcome", F.when(blocked, "manual_review").otherwise("auto_accept"))
     accepted = F.col("outcome") == "auto_accept"
     rows = rows.withColumns({"reasons": F.when(accepted, F.array_append("_reasons", F.lit("rules_and_model_agree"))).otherwise(F.col("_reasons")), "selected_role": F.when(accepted, F.col("model_role")), "selected_scope": F.when(accepted, F.col("_ms"))})
-    return rows.select(*key, "outcome", "reasons", "selected_role", "selected_scope", F.col("_rs").alias("rules_scope"), F.col("_ms").alias("model_scope"))
+    said = [F.struct("rules_role", F.col("_rs").alias("rules_scope"), "model_role", "model_scope", "abstained", F.col("_proposed").isNotNull().alias("proposed")).alias("given")] if given else []
+    return rows.select(*key, "outcome", "reasons", "selected_role", "selected_scope", F.col("_rs").alias("rules_scope"), F.col("_ms").alias("model_scope"), *said)
 
 
 def adjudication_counts(decisions: DataFrame) -> DataFrame:

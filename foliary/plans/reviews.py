@@ -76,12 +76,14 @@ def _gold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_evaluate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules, model = _systems(spark, sf_dir)
-    both = review.adjudicate(rules, model, ["doc_id"], 0.8)
-    made = rules.select(F.lit("rules_only").alias("system"), "doc_id", F.col("rules_role").alias("role"), review.unique_scope(F.col("rules_role"), F.col("rules_scope")).alias("scope"), F.col("rules_role").isNull().alias("abstained"))
-    made = made.unionByName(model.select(F.lit("model_proposal").alias("system"), "doc_id", F.col("model_role").alias("role"), F.col("model_scope").alias("scope"), "abstained"))
-    made = made.unionByName(both.select(F.lit("hybrid").alias("system"), "doc_id", F.col("selected_role").alias("role"), F.col("selected_scope").alias("scope"), (F.col("outcome") != "auto_accept").alias("abstained")))
-    return evaluate.evaluate(_gold(spark, sf_dir), made, ["doc_id"])
+    # both predictors are read and joined once; a row then speaks for all three systems
+    rows = review.adjudicate(*_systems(spark, sf_dir), ["doc_id"], 0.8, given=True)
+    g = lambda c: F.col(f"given.{c}")
+    say = lambda system, role, scope, abstained: F.struct(F.lit(system).alias("system"), role.alias("role"), scope.alias("scope"), abstained.alias("abstained"))
+    model = F.when(g("proposed"), say("model_proposal", g("model_role"), g("model_scope"), g("abstained")))
+    all_ = F.array(say("rules_only", g("rules_role"), g("rules_scope"), g("rules_role").isNull()), model, say("hybrid", F.col("selected_role"), F.col("selected_scope"), F.col("outcome") != "auto_accept"))
+    made = rows.select("doc_id", F.explode(F.array_compact(all_)).alias("x")).select("doc_id", "x.*")
+    return evaluate.evaluate(_gold(spark, sf_dir), made, ["doc_id"], ["rules_only", "model_proposal", "hybrid"])
 
 
 def q_gold_template(spark: SparkSession, sf_dir: str) -> DataFrame:
