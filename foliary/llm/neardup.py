@@ -52,6 +52,8 @@ HUBS = 4
 LANES = 256
 SKETCH_LEAST = 0.75
 BATCH_CHARS = 1 << 19
+#: Shingles that are hashed in all lanes at a time.
+CHUNK = 1 << 12
 BITMAP_WORDS = 1 << 17
 
 _SEEDS = mix(np.arange(1, LANES + 1, dtype=U) * U(0x632BE59BD9B4E019))
@@ -81,8 +83,9 @@ def minwise(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """
     low = (shingles ^ (shingles >> U(32))).astype(np.uint32)
     best = roots = None
-    for at in range(0, len(low), 1 << 14):
-        x = (low[None, at : at + (1 << 14)] ^ _XOR) * _MUL
+    for at in range(0, len(low), CHUNK):
+        x = low[None, at : at + CHUNK] ^ _XOR
+        x *= _MUL
         least, own = x.min(axis=1), shingles[at + x[:TREES].argmin(axis=1)]
         roots = own if best is None else np.where(least[:TREES] < best[:TREES], own, roots)
         best = least if best is None else np.minimum(best, least)

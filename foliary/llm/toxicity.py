@@ -50,7 +50,7 @@ PIECES, PIECE_BYTES, PIECES_BYTES = 60000, 1024, 32 << 20
 #: Longer words are taken in overlapping stretches of so many bytes, so that a span is never longer.
 WORD_BYTES = 40
 #: Sequences that a task counts before it hands them on.
-COUNTED = 1 << 18
+COUNTED = 1 << 16
 FOLDS = 5
 
 
@@ -74,8 +74,8 @@ def _all_stretches(text: str) -> set[bytes]:
     return {x for w in set(words_of(text)) for x in _stretches(w)}
 
 
-def _sequences(text: str) -> set[bytes]:
-    return {x[i : i + n] for x in _all_stretches(text) for n in SEQUENCES for i in range(len(x) - n + 1)}
+def _sequences(stretches: set[bytes], n: int) -> set[bytes]:
+    return {x[i : i + n] for x in stretches for i in range(len(x) - n + 1)}
 
 
 def _spans(text: str, surplus: frozenset[bytes]) -> set[bytes]:
@@ -191,11 +191,13 @@ def _sizes(texts):
 def _counts(texts):
     counts: dict[bytes, list[int]] = {}
     for _, y, t in texts:
-        for x in _sequences(t):
-            counts.setdefault(x, [0, 0])[y] += 1
-        if len(counts) > COUNTED:
-            yield [(x, *n) for x, n in counts.items()]
-            counts = {}
+        stretches = _all_stretches(t)
+        for size in SEQUENCES:  # one length at a time, as a long text has very many of each
+            for x in _sequences(stretches, size):
+                counts.setdefault(x, [0, 0])[y] += 1
+            if len(counts) > COUNTED:
+                yield [(x, *n) for x, n in counts.items()]
+                counts = {}
     yield [(x, *n) for x, n in counts.items()]
 
 
