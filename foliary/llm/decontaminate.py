@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 
 from foliary.llm.scratch import save
 from foliary.llm.textkernel import batches_by_chars, folded_words, ngram_hashes
+from foliary.llm.worker import task
 
 STRIDE = 64
 #: Two strides, which ``pivots`` relies on.
@@ -231,7 +232,7 @@ def _search(docs: DataFrame, index: ItemIndex) -> DataFrame:
                 kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["doc_id", "item_id", "score", "question_overlap", "answer_overlap", "first_word"])
 
-    return docs.mapInArrow(rows, "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, first_word long")
+    return docs.mapInArrow(task(rows), "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, first_word long")
 
 
 def _both(item: tuple[str | None, str | None], one_text: bool) -> tuple[str, str]:
@@ -253,7 +254,7 @@ def _statistics(bench: DataFrame, one_text: bool) -> tuple[int, float, DataFrame
                         counts[term] = counts.get(term, 0) + 1
             yield pa.RecordBatch.from_arrays([pa.array([None, *counts], pa.int64()), pa.array([n, *counts.values()], pa.int64()), pa.array([words, *[0] * len(counts)], pa.int64())], ["term", "df", "words"])
 
-    made = save(bench.select("q", "a").mapInArrow(rows, "term long, df long, words long").groupBy("term").agg(F.sum("df").alias("df"), F.sum("words").alias("words")), "item-terms")
+    made = save(bench.select("q", "a").mapInArrow(task(rows), "term long, df long, words long").groupBy("term").agg(F.sum("df").alias("df"), F.sum("words").alias("words")), "item-terms")
     all_ = made.where("term is null").first()
     parts, words = (all_["df"] or 0, all_["words"] or 0) if all_ else (0, 0)
     return parts, words / parts if parts else 1.0, made.where("term is not null").select("term", "df")
@@ -311,4 +312,4 @@ def _without(docs: DataFrame, index: ItemIndex, text_col: str) -> DataFrame:
                 clean += [next(index.leaks(words.hash[a:b], terms[a:b]), None) is None for a, b in zip(words.range[:-1].tolist(), words.range[1:].tolist(), strict=True)]
             yield batch.filter(pa.array(clean, pa.bool_()))
 
-    return docs.mapInArrow(rows, docs.schema)
+    return docs.mapInArrow(task(rows), docs.schema)

@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 from foliary.llm.components import components
 from foliary.llm.scratch import id_bitmap, save
 from foliary.llm.textkernel import U, Words, ascii_lower, batches_by_chars, codepoints, mix, ngram_hashes
+from foliary.llm.worker import task
 
 SHINGLE = 5
 #: Linked if 100 * intersection >= PERCENT * union.
@@ -55,6 +56,8 @@ BATCH_CHARS = 1 << 19
 #: Shingles that are hashed in all lanes at a time.
 CHUNK = 1 << 12
 BITMAP_WORDS = 1 << 17
+#: Full sets that are handed on at a time.
+SETS = 1024
 
 _SEEDS = mix(np.arange(1, LANES + 1, dtype=U) * U(0x632BE59BD9B4E019))
 _XOR = (_SEEDS >> U(32)).astype(np.uint32)[:, None]
@@ -245,11 +248,11 @@ class ChosenPath:
         """Links among the rows (cell, id, comp, n, side) of each cell."""
         rows = cells.select("cell", "id", "comp", "n", "side").join(self.sketches, "id")
         dealt = rows.repartition("cell").sortWithinPartitions("cell", "side", "id")
-        hits = save(dealt.mapInArrow(partial(_candidates, percent=self.percent), "cell long, id long, side long, comp long, n long"), "candidates")
+        hits = save(dealt.mapInArrow(task(partial(_candidates, percent=self.percent)), "cell long, id long, side long, comp long, n long"), "candidates")
         wanted = id_bitmap(hits, "id", BITMAP_WORDS)
         rows = hits.join(self._sets(hits, wanted).select("id", "shingles"), "id")
         dealt = rows.repartition("cell").sortWithinPartitions("cell", "side", "id")
-        return save(dealt.mapInArrow(partial(_confirm, percent=self.percent), "a long, b long"), "found")
+        return save(dealt.mapInArrow(task(partial(_confirm, percent=self.percent)), "a long, b long"), "found")
 
     def _sets(self, hits: DataFrame, wanted: dict[int, int]) -> DataFrame:
         """Full sets of the documents in ``hits``: the bitmap spares most texts the shuffle, the join decides."""
@@ -264,10 +267,12 @@ class ChosenPath:
             for batch in batches:
                 h = batch["h"].to_numpy()
                 may = (words[(h >> 6) % BITMAP_WORDS] >> (h & 63).astype(U)) & U(1)
-                yield _full(batch.filter(pa.array(may.astype(bool))), k)
+                mine = batch.filter(pa.array(may.astype(bool)))
+                for at in range(0, mine.num_rows, SETS):
+                    yield _full(mine.slice(at, SETS), k)
 
         ids = hits.select("id").distinct()
-        rows = self.texts.withColumn("h", F.xxhash64("id")).mapInArrow(some, "id long, n long, low long, shingles binary")
+        rows = self.texts.withColumn("h", F.xxhash64("id")).mapInArrow(task(some), "id long, n long, low long, shingles binary")
         rows = rows.join(ids, "id", "left_semi")
         return rows if self.unique else rows.groupBy("id").agg(F.max(F.struct("n", "low", "shingles")).alias("best")).select("id", "best.shingles")
 
@@ -331,7 +336,7 @@ class ChosenPath:
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, k: int = SHINGLE) -> DataFrame:
     """A row per row of ``docs``: doc_id, n_shingles, component_id, kept."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    measured = save(texts.mapInArrow(partial(_sketches, k=k), "id long, n long, low long, high long, roots binary, sig binary"), "sketches")
+    measured = save(texts.mapInArrow(task(partial(_sketches, k=k)), "id long, n long, low long, high long, roots binary, sig binary"), "sketches")
     sets = measured.where("id is not null and n > 0")
     unique = sets.groupBy("id").count().where("count > 1").isEmpty()
     if not unique:  # of rows with one id, the one with the largest set stands for it

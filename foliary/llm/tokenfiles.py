@@ -32,6 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from foliary.llm import worker
 from foliary.llm.scratch import fresh, open_fs, save
 from foliary.llm.textkernel import Slices, batches_by_chars, codepoints
 
@@ -212,13 +213,9 @@ class Encoder:
         return out
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    """The worker's encoder; it goes when the files are read back or another operator's task begins."""
+    return worker.keep("token files", path, lambda: Encoder(path))
 
 
 @dataclass(frozen=True)
@@ -247,7 +244,7 @@ class TokenFiles:
                     yield from _read_part(files, _stem(root, part, piece), dtype, part, piece, base)
 
         manifest = self.manifest.select("part", "piece", "base")
-        return manifest.repartition(max(1, self.parts.count()), "part", "piece").mapInArrow(rows, "doc_id long, start long, n_tokens long, ids_crc32 long, part int, piece int")
+        return manifest.repartition(max(1, self.parts.count()), "part", "piece").mapInArrow(worker.task(rows), "doc_id long, start long, n_tokens long, ids_crc32 long, part int, piece int")
 
 
 def _stem(root: str, part: int, piece: int) -> str:
@@ -350,4 +347,4 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str | None
     tie = F.xxhash64("text")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     dealt = rows.repartitionByRange(F.col("id"), tie).sortWithinPartitions("id", tie)
-    return TokenFiles(spark, folder, dtype, save(dealt.mapInArrow(encode, "part int, piece int, n_docs long, n_tokens long"), "token-parts"))
+    return TokenFiles(spark, folder, dtype, save(dealt.mapInArrow(worker.task(encode, "token files"), "part int, piece int, n_docs long, n_tokens long"), "token-parts"))

@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliary.llm import scratch
+from foliary.llm.worker import task
 
 WINDOW = 4
 #: Lengths of the character sequences that are counted, in bytes; the least is what the compressor matches.
@@ -179,7 +180,7 @@ def _each(sample: DataFrame, schema: str, f: Callable[[Iterator[tuple[int, int,
             if made:
                 yield pa.RecordBatch.from_arrays([pa.array(c, types[k]) for c, k in zip(zip(*made, strict=True), kinds, strict=True)], list(names))
 
-    return sample.select("id", "y", "text").mapInArrow(rows, schema)
+    return sample.select("id", "y", "text").mapInArrow(task(rows), schema)
 
 
 def _sizes(texts):
@@ -306,7 +307,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([batch["id"], pa.array([of(t) for t in batch["text"].to_pylist()], pa.float64())], ["doc_id", "score"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    out = texts.mapInArrow(rows, "doc_id long, score double")
+    out = texts.mapInArrow(task(rows), "doc_id long, score double")
     held = F.crc32(F.col("doc_id").cast("string")) % FOLDS == 0
     return out.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
@@ -320,4 +321,4 @@ def reject(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         for batch in batches:
             yield batch.filter(pa.array([of(t) < 0.5 for t in batch[text_col].to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(rows, docs.schema)
+    return docs.mapInArrow(task(rows), docs.schema)
