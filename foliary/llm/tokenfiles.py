@@ -38,11 +38,11 @@ from foliary.llm.textkernel import Slices, batches_by_chars, codepoints
 
 NULL_ID = -(1 << 63)
 #: Characters encoded at a time, and pretokens kept by a worker before it starts anew: both bound a worker's memory.
-BATCH_CHARS = 1 << 19
+BATCH_CHARS = 1 << 17
 #: Tokens after which a file ends with the batch of documents, and tokens that are read back at a time.
 PART_TOKENS = 1 << 28
 READ_TOKENS = 1 << 23
-CACHE_MOST = 1 << 21
+CACHE_MOST = 1 << 19
 #: Code points from here on are left to the tokenizer's own splitter.
 PLAIN_BELOW = 0x250
 LETTER, NUMBER, SPACE, OTHER = range(4)
@@ -113,10 +113,12 @@ class Encoder:
         self.classes = _classes()
         self.clear()
 
-    def clear(self) -> None:
+    def clear(self, least: int = 0) -> None:
+        """Start anew, with room for ``least`` pieces at once, as one text may hold more than CACHE_MOST."""
         self.known = 0
-        self.keys = np.zeros(4 * CACHE_MOST, dtype=np.uint64)
-        self.slot_of = np.zeros(4 * CACHE_MOST, dtype=np.int32)
+        slots = 4 * max(CACHE_MOST, 1 << least.bit_length())
+        self.keys = np.zeros(slots, dtype=np.uint64)
+        self.slot_of = np.zeros(slots, dtype=np.int32)
         self.begin = np.zeros(1 << 16, dtype=np.int64)
         self.length = np.zeros(1 << 16, dtype=np.int64)
         self.second = np.zeros(1 << 16, dtype=np.uint64)
@@ -174,8 +176,8 @@ class Encoder:
             joined = "".join(texts)
             unique, at = np.unique(hashes[new], return_index=True)
             if self.known + len(unique) > CACHE_MOST:
-                self.clear()
                 unique, at = np.unique(hashes, return_index=True)
+                self.clear(len(unique))
                 new = np.arange(len(hashes))
             at = new[at]
             self._learn(unique, second[at], [joined[a:b] for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)])

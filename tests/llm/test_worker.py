@@ -62,3 +62,17 @@ def test_full_sets_in_parts(spark, monkeypatch):
     want = sorted(map(tuple, neardup.find(docs).collect()))
     monkeypatch.setattr(neardup, "SETS", 7)
     assert sorted(map(tuple, neardup.find(docs).collect())) == want
+
+
+def test_encoder_is_small_and_takes_any_text(monkeypatch):
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    e = tokenfiles.Encoder(path)
+    assert e.keys.nbytes + e.slot_of.nbytes <= 32 << 20
+    monkeypatch.setattr(tokenfiles, "CACHE_MOST", 4)  # a text has more distinct pieces than the table has slots
+    e = tokenfiles.Encoder(path)
+    texts = [" ".join(f"w{i} x" for i in range(300)), "a few words", " ".join(f"y{i}" for i in range(50)), ""]
+    for t in texts:
+        assert e.encode([t])[0].tolist() == e.whole([t])[0]
+    assert e.known <= 64 and len(e.keys) <= 512
